@@ -96,3 +96,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     rest = marked.where(at_end.isNull() | ~at_end).withColumn("drawn", F.coalesce(F.col("bucket") < F.col("end_bucket"), F.lit(False)))
     copies = (F.col("whole") + F.col("drawn").cast("long")).cast("long")
     return edge.unionByName(rest).select("row_id", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, seed: str = "mix") -> DataFrame:
+    """docs with each row as often as `mix` takes it, rows taken not at all left out; all columns pass through.
+
+    Copies belong to doc_id, source and size: rows that share all three take
+    the most copies of any of them. Texts are shuffled once.
+    """
+    taken = mix(docs, weights, share, most, seed).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
+    keyed = docs.withColumn("__words", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    rows = keyed.join(taken.where("__copies > 0"), on)
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

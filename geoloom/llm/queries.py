@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from geoloom.llm import mixing, quality, secrets, sharding
+from geoloom.llm import chunks, classifier, fingerprints, mixing, neardup, quality, secrets, sharding, tokens, warc
 from geoloom.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -24,19 +28,80 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), weights).drop("text")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the archive of all pages against a replica in which every 97th page is damaged."""
+    pages = read_table(spark, sf_dir, "pages")
+    return warc.audit(warc.archive(pages), warc.archive(warc.damaged(pages)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_spotsigs": op1_spotsigs,
     "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_source_mix": op8_source_mix,
+    "op9_fixity_audit": op9_fixity_audit,
     "op10_sharding": op10_sharding,
+    "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Sizes in bytes of UTF-8 and the layout of records are plain SQL; `chr(13) || chr(10)` ends a line.
+OP9_SQL = """
+WITH laid AS (
+  SELECT page_id, CAST(floor(page_id / 512.0) AS BIGINT) AS file,
+         'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+         || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e AS head,
+         coalesce(html, '') AS body, e || e AS tail, page_id % 97 = 13 AND length(html) > 0 AS hit
+  FROM pages, (SELECT chr(13) || chr(10) AS e)
+), records AS (
+  SELECT *, sha256(head || body || tail) AS digest, strlen(head || body || tail) AS length,
+         'WARC/1.1' AS version, CASE WHEN hit THEN '?' || substr(body, 2) ELSE body END AS replica_body
+  FROM laid
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS record_no, CAST(sum(length) OVER w - length AS BIGINT) AS record_offset
+  FROM records WINDOW w AS (PARTITION BY file ORDER BY page_id)
+), replica AS (
+  SELECT page_id, replace(head, 'Content-Length: ' || strlen(body), 'Content-Length: ' || strlen(replica_body)) || replica_body || tail AS bytes FROM placed
+), shifted AS (
+  SELECT page_id, sha256(bytes) AS other, sum(strlen(bytes)) OVER (PARTITION BY CAST(floor(page_id / 512.0) AS BIGINT) ORDER BY page_id) AS other_end, strlen(bytes) AS other_length FROM replica
+)
+SELECT p.page_id, p.file, p.record_no, p.record_offset, p.length, p.digest,
+       p.digest = s.other AND p.record_offset = s.other_end - s.other_length AS intact,
+       CASE WHEN NOT (p.digest = s.other AND p.record_offset = s.other_end - s.other_length) THEN s.other END AS found_digest
+FROM placed p JOIN shifted s USING (page_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_fixity_audit": OP9_SQL}
