@@ -100,7 +100,8 @@ def _context_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums[:, DIMENSIONS] += np.bincount(types, minlength=TYPES)
     parts = sums.reshape(TYPES // PART, -1)
     full = np.flatnonzero(np.abs(parts).any(axis=1))
-    yield pd.DataFrame({"part": full.astype(np.int32), "sums": [parts[i].tolist() for i in full]})
+    if len(full):
+        yield pd.DataFrame({"part": full.astype(np.int32), "sums": [parts[i].tolist() for i in full]})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -205,6 +206,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = pooled(pdf["text"].tolist(), vectors)
+            if not len(made):
+                continue
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "pooled": list(made)})
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))

@@ -125,7 +125,7 @@ def _pruned(percent: int, miss: float):
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
+            keep: list[bool] = []
             for x, y in zip(pdf["ma"], pdf["mb"], strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = shared(p, q)
