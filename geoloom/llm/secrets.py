@@ -123,11 +123,12 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners
     rows = scanned.select("row_id", "doc_id").join(per_row, "row_id", "left")
     found = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean>>"))
     n = lambda test: F.size(F.filter("all", test)).cast("long")
+    of_kind = lambda k: lambda s: s["kind"] == k
     return rows.withColumn("all", found).select(
-        "doc_id", *(n(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        "doc_id", *(n(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(F.array_join(F.transform(F.filter("all", lambda s: s["kind"] < 3), text_of), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("all", text_of), ",").alias("spans"),
-        n(lambda s: s["kind"] == 3).alias("n_opaque"), n(lambda s: s["live"]).alias("n_live"), n(lambda s: ~s["live"]).alias("n_examples"),
+        n(of_kind(3)).alias("n_opaque"), n(lambda s: s["live"]).alias("n_live"), n(lambda s: ~s["live"]).alias("n_examples"),
     )
 
 
