@@ -2,14 +2,15 @@
 
 1. One scan gives each text its shingle set's class (a hash of the whole set),
    a MinHash signature and band keys. Equal sets are one class from here on.
-2. In each band bucket every class is paired with the bucket's smallest class.
-   Signature batches prune a pair as soon as the posterior chance that its
+2. Rounds of chance partners: each band bucket is dealt into small parts, and
+   each class is tested with its part's first one if they are not in one group
+   yet. Signature batches prune a pair as soon as the posterior chance that its
    similarity reaches the threshold falls below the miss probability; pairs
-   left over are compared on their full sets. Links give first groups.
-3. What a bucket still holds of other groups than its largest is paired with
-   all members of other groups, and tested in the same way. After this every
-   pair of a bucket is linked, tested, or already in one group, though a group
-   of m copies took m tests and not m * m.
+   left over are compared on their full sets. Links join groups, so a large
+   group of near copies grows together in a few rounds of one test a member.
+3. What a bucket then still holds of other groups than its largest is paired
+   with all members of other groups, and tested in the same way. After this
+   every pair of a bucket is linked, tested, or in one group already.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 #: MinHashes compared before each decision.
 BATCH = 32
+#: Rounds of chance partners before the rest is compared in full, and members of a part that share one partner.
+ROUNDS, PART, FEW = 6, 16, 20
+#: Buckets of more members are compared in blocks of BLOCK by BLOCK; pairs are listed in smaller ones only.
+LISTED, BLOCK = 32, 512
 #: A pair is pruned once the chance that it reaches the threshold is below this.
 MISS = 1e-6
 
@@ -78,9 +83,9 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for first, block in blocks(pdf["text"].tolist()):
             members, counts = shingle_sets(block, WIDTH)
             sets = np.split(members, np.cumsum(counts)[:-1])
-            made = pd.DataFrame({"cls": pd.array(set_classes(sets), "Int64"), "wanted": pdf["wanted"].iloc[first : first + len(block)].array, "members": [s.tobytes() for s in sets]})
+            made = pd.DataFrame({"cls": pd.array(set_classes(sets), "Int64"), "wanted": pdf["wanted"].iloc[first : first + len(block)].array, "members": [s.tobytes() for s in sets], "short": [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], "size": counts})
             # A doc_id may be repeated with other texts: only the wanted set passes.
-            yield made[made["cls"] == made["wanted"]][["cls", "members"]].drop_duplicates("cls")
+            yield made[made["cls"] == made["wanted"]].drop(columns="wanted").drop_duplicates("cls")
 
 
 @lru_cache
@@ -122,6 +127,46 @@ def _pruned(percent: int, miss: float):
     return prune
 
 
+def _block_compared(percent: int, miss: float):
+    """Pairs of a block of strays with a block of members that may link: signatures first, then intersections of 32-bit shingles.
+
+    A shingle's shorter hash can only add to an intersection, so no link is
+    lost; full sets decide later.
+    """
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            signatures = np.stack([np.frombuffer(x, np.uint16) for x in right["signature"]])
+            y, gy, top, ny = (right[c].to_numpy() for c in ("cls", "group", "top", "size"))
+            arrays = [np.frombuffer(x, np.uint32) for x in right["short"]]
+            owner = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+            shingles = np.concatenate(arrays)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            for x, gx, signature, short, nx in zip(left["cls"], left["group"], left["signature"], left["short"], left["size"], strict=True):
+                own = np.frombuffer(signature, np.uint16)
+                open_ = np.flatnonzero((gy != gx) & ((gy == top) | (x < y)))
+                matches = np.zeros(len(open_), np.int64)
+                for at in range(0, len(own), BATCH):
+                    stop = min(at + BATCH, len(own))
+                    matches = matches + (signatures[open_, at:stop] == own[at:stop]).sum(axis=1)
+                    stays = matches >= fewest_matches(stop, percent, miss)
+                    open_, matches = open_[stays], matches[stays]
+                if not len(open_):
+                    continue
+                mine = np.frombuffer(short, np.uint32)
+                low, high = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
+                n = high - low
+                hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[hit], minlength=len(y))[open_]
+                near = open_[100 * both >= percent * (nx + ny[open_] - both)]
+                out += [(min(x, int(y[k])), max(x, int(y[k]))) for k in near]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -170,39 +215,79 @@ def _groups(docs: DataFrame, percent: int, miss: float) -> tuple[DataFrame, Data
 
     slices = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = classes.select("cls", F.explode(slices).alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last")
-    members = written(banded.join(buckets.select("band", "lead"), "band"), "dup-buckets")
+    # Counts alone are shuffled for the many bands of one class.
+    repeated = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(banded.join(repeated, "band"), "dup-buckets")
 
     needed = written(members.select("cls").distinct().join(classes, "cls"), "dup-needed")
     wanted = needed.select(F.col("cls").alias("wanted"), F.when(F.col("id") != NO_ID, F.col("id")).alias("wanted_id"))
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "wanted")
-    sets = written(texts.mapInPandas(_sets, "cls long, members binary"), "dup-sets")
+    sets = written(texts.mapInPandas(_sets, "cls long, members binary, short binary, size long"), "dup-sets")
     if _repeats(signed):
         sets = sets.dropDuplicates(["cls"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = needed.select("cls", "signature").toDF("a", "sa"), needed.select("cls", "signature").toDF("b", "sb")
-        left = written(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(_pruned(percent, miss), "a long, b long"), "dup-candidates")
-        a, b = sets.toDF("a", "ma"), sets.toDF("b", "mb")
-        return written(left.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInPandas(_confirmed(percent), "a long, b long"), "dup-links")
+        return confirmed(written(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(_pruned(percent, miss), "a long, b long"), "dup-candidates"))
 
-    starred = linked(members.where("cls > lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct())
-    grouped = components(starred, needed.select("cls", "id")).select("cls", F.col("head.cls").alias("group"))
+    def confirmed(left: DataFrame) -> DataFrame:
+        full = sets.select("cls", "members")
+        a, b = full.toDF("a", "ma"), full.toDF("b", "mb")
+        return written(left.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInPandas(_confirmed(percent), "a long, b long"), "dup-links")
 
-    held = members.join(grouped, "cls")
-    sizes = held.groupBy("band", "group").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    split = written(held.join(largest.select("band", F.col("top.group").alias("top")), "band").where("cls != lead"), "dup-split-buckets")
-    strays = split.where(F.col("group") != F.col("top")).select("band", F.col("cls").alias("x"), F.col("group").alias("gx"))
-    others = split.select("band", F.col("cls").alias("y"), F.col("group").alias("gy"), "top")
+    nodes = needed.select("cls", "id")
+    links = linked(_partners(members.withColumn("group", F.col("cls")), 0))
+    grouped = components(links, nodes).select("cls", F.col("head.cls").alias("group"))
+    for k in range(1, ROUNDS):
+        more = linked(_partners(_split(members, grouped), k))
+        links = links.union(more)
+        # Once a round adds little, those still apart are no near copies of most others.
+        if FEW * more.count() < links.count():
+            break
+        grouped = components(links, nodes).select("cls", F.col("head.cls").alias("group"))
+
+    split = written(_split(members, grouped), "dup-split-buckets")
+    sizes = split.groupBy("band", "group").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("m", "group"))["group"].alias("top"))
+    placed = written(split.join(largest, "band"), "dup-placed")
+
+    small = placed.where(F.col("n") <= LISTED)
+    strays = small.where(F.col("group") != F.col("top")).select("band", F.col("cls").alias("x"), F.col("group").alias("gx"))
+    others = small.select("band", F.col("cls").alias("y"), F.col("group").alias("gy"), "top")
     across = strays.join(others, "band").where((F.col("gx") != F.col("gy")) & ((F.col("gy") == F.col("top")) | (F.col("x") < F.col("y"))))
     late = linked(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
-    heads = components(starred.union(late), needed.select("cls", "id"))
+    # Larger buckets meet block by block: what is emitted is what a finer look leaves over, not their pairs.
+    carried = placed.where(F.col("n") > LISTED).join(sets.select("cls", "short", "size").join(needed.select("cls", "signature"), "cls"), "cls")
+    blocked = carried.withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "own": F.pmod(F.xxhash64("cls", F.lit("block")), F.ceil(F.col("n") / BLOCK)).cast("int")})
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = blocked.where(F.col("group") != F.col("top")).select("band", F.col("own").alias("i"), every.alias("j"), "cls", "group", "signature", "short", "size")
+    right = blocked.select("band", every.alias("i"), F.col("own").alias("j"), "cls", "group", "top", "signature", "short", "size")
+    # Both sides stem from one table; fresh column names tell them apart.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    found = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInPandas(_block_compared(percent, miss), "a long, b long")
+    late = late.union(confirmed(written(found.distinct(), "dup-candidates")))
+
+    heads = components(links.union(late), nodes)
     placed = classes.select("cls", "id").join(heads, "cls", "left").select("cls", "id", F.coalesce("head", F.struct("id", "cls")).alias("head"))
     return signed.select("doc_id", "n_shingles", "cls"), placed
 
 
+def _split(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Members (band, cls, n) of the buckets that hold more than one group, with their groups."""
+    held = members.join(grouped, "cls")
+    mixed = held.groupBy("band").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("band")
+    return held.join(mixed, "band")
+
+
+def _partners(split: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of round k: buckets are dealt by chance into parts of about PART members, and each is paired with its part's first one, if that is of another group."""
+    dealt = split.withColumn("draw", F.xxhash64("cls", F.lit(k))).withColumn("part", F.pmod("draw", F.ceil(F.col("n") / PART)))
+    first = dealt.groupBy("band", "part").agg(F.min(F.struct("draw", "cls", "group")).alias("first"))
+    pairs = dealt.join(first, ["band", "part"]).where(F.col("group") != F.col("first.group"))
+    return pairs.select(F.least("cls", "first.cls").alias("a"), F.greatest("cls", "first.cls").alias("b")).distinct()
+
+
 def _repeats(signed: DataFrame) -> bool:
     """Whether a doc_id stands in more than one row."""
     return signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
