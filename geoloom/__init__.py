@@ -1,0 +1 @@
+"""Geospatial attribute, vector and shape analytics on Spark."""
