@@ -9,6 +9,8 @@ outer words give the very tokens that the chunks have there.
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,16 +19,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import SPACES, small_batches, text_or_empty
+from geoloom.llm.common import SPACES, WORD, small_batches, text_or_empty
 from geoloom.llm.tokens import tokenizer
 
 #: A cut falls where this many bits of the rolling hash are zero: about every 2**CUT_BITS characters.
 CUT_BITS = 10
 LEAST_CHUNK, MOST_CHUNK = 256, 8192
 #: A worker forgets its chunks or words when it holds so many.
-MOST_CHUNKS, MOST_WORDS = 20_000, 400_000
+MOST_CHUNKS, MOST_WORDS = 10_000, 800_000
 
-_SPLIT = str.maketrans(dict.fromkeys(SPACES, " "))
+_WORD = re.compile(WORD)
+#: What str.split() takes for white space besides the six characters that part words here.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def words_of(piece: str) -> list[str]:
+    return _WORD.findall(piece) if _OTHER_SPACE.search(piece) else piece.split()
 
 
 def cuts(text: str, bits: int = CUT_BITS) -> list[int]:
@@ -85,7 +93,7 @@ class Encoder:
             some = new[at : at + 20_000]
             ids = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
             decoded = self.library.decode_batch(ids, skip_special_tokens=False)
-            self.words.update((w, (np.array(i, "<u4").tobytes(), d)) for w, i, d in zip(some, ids, decoded, strict=True))
+            self.words.update((w, (struct.pack(f"<{len(i)}I", *i), d)) for w, i, d in zip(some, ids, decoded, strict=True))
 
     def _chunk(self, piece: str, words: list[str]) -> Chunk:
         known = [self.words[w] for w in words[1:-1]]
@@ -100,8 +108,7 @@ class Encoder:
             pieces.append([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
         if len(self.chunks) > MOST_CHUNKS:
             self.chunks.clear()
-        new = {p: p.translate(_SPLIT).split(" ") for p in {p for row in pieces for p in row} - self.chunks.keys()}
-        new = {p: [w for w in words if w] for p, words in new.items()}
+        new = {p: words_of(p) for p in {p for row in pieces for p in row} - self.chunks.keys()}
         joins = {w for row in pieces for w in self._outer_words(row, new)}
         self.learn(joins.union(*(words[1:-1] for words in new.values())))
         self.chunks.update((p, self._chunk(p, words)) for p, words in new.items())
