@@ -162,7 +162,9 @@ def _with_bridges(rings: list[np.ndarray]) -> np.ndarray:
         start = int(hole[:, 0].argmax())
         hole = np.roll(hole, -start, axis=0)
         point = hole[0]
-        order = np.argsort(((shell - point) ** 2).sum(axis=1), kind="stable")
+        # Bridges go to the right, where nothing of this hole is; holes further right are in the ring already.
+        right = np.flatnonzero(shell[:, 0] >= point[0])
+        order = right[np.argsort(((shell[right] - point) ** 2).sum(axis=1), kind="stable")] if len(right) else np.argsort(((shell - point) ** 2).sum(axis=1))
         free = next((int(k) for k in order if not _blocked(point, shell[k], shell, hole)), int(order[0]))
         shell = np.concatenate([shell[: free + 1], hole, hole[:1], shell[free:]])
     return shell

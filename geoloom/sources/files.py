@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from geoloom.functions.columns import is_forced_text
+from geoloom.functions.columns import NOT_ATTRIBUTES, is_forced_text
 
 #: Accepted names of file kinds.
 KINDS = {"shp": "shp", "shapefile": "shp", "gdb": "gdb", "filegdb": "gdb", "geojson": "geojson", "json": "geojson", "csv": "csv", "dbf": "dbf"}
@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     """A CSV with a header; column types are inferred, but columns whose names say so are text and keep leading zeros."""
     reader = spark.read.option("header", True).option("encoding", encoding)
     inferred = reader.option("inferSchema", True).csv(path).schema
-    fields = [T.StructField(f.name, T.StringType() if is_forced_text(f.name) else f.dataType) for f in inferred.fields]
+    fields = [T.StructField(f.name, T.StringType() if is_forced_text(f.name) and f.name.lower() not in NOT_ATTRIBUTES else f.dataType) for f in inferred.fields]
     return reader.schema(T.StructType(fields)).csv(path)
 
 
@@ -88,7 +88,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gid_requests(spark: SparkSession, path: str) -> DataFrame:
     """Requested ids of a text file: pos, gid, line, and the token where it is no id. '#' begins a comment; commas and spaces part ids."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     tokens = lines.select((F.col("line") + 1).alias("line"), F.posexplode(F.split(F.substring_index("text", "#", 1), r"[\s,]+")).alias("at", "token")).where("token != ''")
     order = F.row_number().over(Window.orderBy("line", "at")) - 1  # request files are short
     return tokens.select(order.alias("pos"), F.col("token").try_cast("bigint").alias("gid"), "line", F.when(F.col("token").try_cast("bigint").isNull(), F.col("token")).alias("bad_token"))
@@ -100,7 +100,7 @@ _NUMBER = r"([-+0-9.eE]+)"
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     """Metrics of a training log: epoch, split, total, mag, phase. A metric line belongs to the last epoch that began before it."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     got = lambda p, g=1: F.nullif(F.regexp_extract("text", p, g), F.lit(""))
     marked = lines.select("file", "line", got(r"Epoch\s*\[?\s*(\d+)\s*/").cast("int").alias("begun"), got(r"(?i)\b(train|val)\w*\b").alias("split"), *[got(rf"(?i)\b{m}\w*\s*[:=]\s*{_NUMBER}").try_cast("double").alias(m) for m in ("total", "mag", "phase")])
     epoch = F.last("begun", ignorenulls=True).over(Window.partitionBy("file").orderBy("line"))
