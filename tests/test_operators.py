@@ -134,7 +134,7 @@ def test_transform_at_zero_is_the_area_and_ignores_the_cut(spark):
 def test_triangulation_covers_holes_and_says_why_not(spark):
     ring = lambda *p: [dict(x=float(a), y=float(b)) for a, b in p]
     shell, hole = ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ring((1, 1), (2, 1), (2, 2), (1, 2))
-    bow, meets = ring((0, 0), (2, 2), (2, 0), (0, 2)), ring((3, 3), (5, 3), (5, 5), (3, 5))
+    bow, meets = ring((0, 0), (2, 2), (2, 0), (0, 3)), ring((3, 3), (5, 3), (5, 5), (3, 5))
     star = ring((0, 0), (2, 1), (4, 0), (3, 2), (4, 4), (2, 3), (0, 4), (1, 2))
     rows = [(1, [[shell, hole]]), (2, [[bow]]), (3, [[shell, meets]]), (4, None), (5, []), (6, [[star], [shell]])]
     made = geometry.triangulate(spark.createDataFrame(rows, f"gid long, parts {geometry.PARTS}"))
