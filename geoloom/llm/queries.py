@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geoloom.llm import chunks, classifier, fingerprints, mixing, neardup, quality, secrets, sharding, tokens, warc
 from geoloom.llm.common import read_table
@@ -45,7 +46,8 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op9_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +106,34 @@ SELECT p.page_id, p.file, p.record_no, p.record_offset, p.length, p.digest,
 FROM placed p JOIN shifted s USING (page_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_fixity_audit": OP9_SQL}
+#: The water level of the targets, and a running sum along the ranks in place of the histogram.
+OP8_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, avg(size) AS mean_size,
+         [5.0e0, 2.0e0, 1.0e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sized GROUP BY source
+), risen AS (
+  SELECT *, 2 * source_size AS cap, row_number() OVER w AS at_,
+         (1.5e0 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources WINDOW w AS (ORDER BY 2 * source_size / weight, source NULLS LAST)
+), lev AS (
+  SELECT arg_min(level, at_) AS level FROM risen WHERE level <= cap / weight
+), targets AS (
+  SELECT source, source_size, mean_size, CASE WHEN lev.level IS NULL THEN cap ELSE least(cap, lev.level * weight) END AS target FROM risen, lev
+), shares AS (
+  SELECT *, floor(target / source_size) AS whole, target / source_size - floor(target / source_size) AS rest, target - floor(target / source_size) * source_size AS need FROM targets
+), ranked AS (
+  SELECT d.doc_id, d.size, s.*, (CAST('0x' || substr(md5('mix:' || d.doc_id), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656.0e0 AS u
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
+), ordered AS (
+  SELECT *, CASE WHEN rest > 0 AND size > 0 THEN u / (1 - u) / (rest / (1 - rest) * greatest(0.5e0, least(2.0e0, size / mean_size))) END AS rank FROM ranked
+), along AS (
+  SELECT *, sum(CASE WHEN rank IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM ordered
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,
+       CAST(size * (whole + CASE WHEN rank IS NOT NULL AND before < need AND 2 * (need - before) >= size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM along
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_source_mix": OP8_SQL, "op9_fixity_audit": OP9_SQL}
