@@ -307,9 +307,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     has an id. Repeated rows get equal results. An empty table gives no rows.
     Other columns of docs are ignored.
 
-    Two links may be missed: a pair at the threshold shares no band with
-    probability (1 - 0.75^4)^40, under 1e-6, and the pruning adds `miss`. Sets
-    are told apart by 64-bit names.
+    A pair right at the threshold shares no band with probability
+    (1 - 0.75^4)^40, under 3e-7, and is pruned by its signatures with
+    probability under 6e-6; both fall quickly above it. Sets are told apart by
+    64-bit names.
     """
     rows, groups = _groups(docs, percent, miss)
     placed = rows.join(groups, "cls", "left")
