@@ -36,7 +36,7 @@ BATCH = 32
 #: Rounds of chance partners before the rest is compared in full, and members of a part that share one partner.
 ROUNDS, PART, FEW = 6, 16, 20
 #: Buckets of more members are compared in blocks of BLOCK by BLOCK; pairs are listed in smaller ones only.
-LISTED, BLOCK = 32, 512
+LISTED, BLOCK = 8, 512
 #: A pair is pruned once the chance that it reaches the threshold is below this.
 MISS = 1e-6
 
