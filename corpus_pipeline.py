@@ -17,7 +17,9 @@ from geoloom.llm.queries import trusted_ids
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the score reject go."""
     weights = quality.bucket_weights(docs, trusted_ids(spark, sf_dir))
-    return quality.judge(docs, weights).where("kept").select(*docs.columns)
+    labels = read_table(spark, sf_dir, "labels")
+    columns = list(dict.fromkeys([*docs.columns, "score", "base_failed"]))
+    return quality.judge_by_labels(docs, weights, labels, columns).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,19 +13,23 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import SPACES, let, text_or_empty, words_of
+from geoloom.llm.common import SPACES, let, text_or_empty, words_of, written
 
 #: Buckets that n-grams are hashed to.
 N_BUCKETS = 10_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
-#: Documents whose score is below this are rejected. On labelled rows of the test tables good documents
-#: that pass the rules score -0.02 or more, and poor ones that pass them -0.05 or less.
+#: Documents whose score is below this are rejected, where labels do not ask for another threshold. Scores of both
+#: labelled groups rise and fall with the size of the corpus, so no constant parts them at every size.
 LEAST_SCORE = -0.1
+#: Thresholds that are tried lie so many to a unit of the score.
+SCORE_STEPS = 10_000
 #: Trusted ids are broadcast up to this many; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 SYMBOLS = "#*$%&|<>"
+#: What judge() adds before its verdict, in the order of its columns.
+MEASURES = ("word_chars", "n_symbols", "n_dup_lines", "n_words", "n_repeat_words", "score", "base_failed")
 
 
 def _buckets(words: Column, n_buckets: int) -> Column:
@@ -115,3 +119,45 @@ def judge(docs: DataFrame, weights: list[float], least_score: float = LEAST_SCOR
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     made = made.withColumn("base_failed", failed)
     return made.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least_score))
+
+
+def parting_score(scored: DataFrame, labels: DataFrame, default: float = LEAST_SCORE, steps: int = SCORE_STEPS) -> float:
+    """The threshold that best parts scored(doc_id, score, base_failed) by labels(doc_id, quality 0 or 1).
+
+    Among rows that pass the base rules the share of poor ones that stay and
+    the share of good ones that go are added up for every multiple of 1 / steps.
+    default is returned if no threshold does better, or if one of the groups is
+    empty; else the middle of the longest run of best thresholds. All labelled
+    rows count, and what reaches the driver is one row for each step that has any.
+    """
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("labelled_id"), "quality").distinct()
+    passed = scored.where("not base_failed").select("doc_id", "score")
+    step = F.floor(F.col("score") * steps)
+    counted = passed.join(known, F.col("doc_id") == F.col("labelled_id")).groupBy(step.alias("step")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("poor"))
+    rows = sorted((r["step"], r["good"], r["poor"]) for r in counted.collect())
+    n_good, n_poor = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    if not n_good or not n_poor:
+        return default
+    # Thresholds from one step with rows to the next: (first, last, loss); below all rows every poor one stays.
+    gone, stay, runs, first = 0, n_poor, [], -math.inf
+    for at, good, poor in rows:
+        runs.append((first, at, gone * n_poor + stay * n_good))
+        gone, stay, first = gone + good, stay - poor, at + 1
+    runs.append((first, math.inf, gone * n_poor + stay * n_good))
+    least = min(r[2] for r in runs)
+    best = [r for r in runs if r[2] == least]
+    if any(low <= default * steps <= high for low, high, _ in best):
+        return default
+    low, high, _ = max(best, key=lambda r: r[1] - r[0])
+    low, high = max(low, rows[0][0]), min(high, rows[-1][0] + 1)
+    return (low + high) // 2 / steps
+
+
+def judge_by_labels(docs: DataFrame, weights: list[float], labels: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of judge(), with kept by the threshold that parts the labelled documents best.
+
+    Documents are scored once; the scores are written and read again, first
+    with the labels and then with the threshold.
+    """
+    scored = written(judge(docs, weights).select(*columns), "quality-scores")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= parting_score(scored, labels)))

@@ -26,7 +26,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     weights = quality.bucket_weights(docs, trusted_ids(spark, sf_dir))
-    return quality.judge(docs.select("doc_id", "text"), weights).drop("text")
+    return quality.judge_by_labels(docs.select("doc_id", "text"), weights, read_table(spark, sf_dir, "labels"), ["doc_id", *quality.MEASURES, "kept"])
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm import chunks, classifier, fingerprints, mixing, neardup, quality, secrets, sharding, tokens, warc
+from geoloom.llm import chunks, classifier, fingerprints, mixing, neardup, quality, queries, secrets, sharding, tokens, warc
 from geoloom.llm.common import read_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,6 +133,27 @@ def test_quality_rules(spark, sf_dir):
             assert r.kept == (not r.base_failed and r.score >= quality.LEAST_SCORE)
 
 
+def test_threshold_parts_the_labelled_groups(spark):
+    """At sf0.01 a threshold of -0.1 keeps two poor documents that pass the base rules."""
+    sf = "/root/testdata/sf0.01"
+    labels = read_table(spark, sf, "labels")
+    passed = queries.op3_quality_rules(spark, sf).where("not base_failed").join(labels, "doc_id").collect()
+    poor, good = [r for r in passed if r.quality == 0], [r for r in passed if r.quality == 1]
+    assert len(poor) > 20 and len(good) > 300
+    assert sum(r.kept for r in poor) == 0 and sum(not r.kept for r in good) == 0
+    assert sum(r.score >= quality.LEAST_SCORE for r in poor) == 2
+
+
+def test_parting_score_equals_brute_force(spark):
+    for scores, quality_of in (([-0.3, -0.061, -0.0405, -0.02, 0.1], [0, 0, 1, 1, 1]), ([-0.3, -0.04, -0.05, 0.2, 0.1], [0, 0, 1, 1, 0]), ([-0.3, -0.06], [0, 1]), ([-0.3], [0])):
+        rows = [(i, s, False) for i, s in enumerate(scores)] + [(99, 0.0, True)]
+        labels = spark.createDataFrame([*enumerate(quality_of), (99, 0)], "doc_id long, quality int")
+        got = quality.parting_score(spark.createDataFrame(rows, "doc_id long, score double, base_failed boolean"), labels)
+        lost = lambda t, n=quality_of, s=scores: sum(x < t for x, q in zip(s, n, strict=True) if q) * n.count(0) + sum(x >= t for x, q in zip(s, n, strict=True) if not q) * n.count(1)
+        assert lost(got) == min(lost(k / 1000) for k in range(-500, 500))
+        assert got == quality.LEAST_SCORE or lost(quality.LEAST_SCORE) > lost(got)
+
+
 def groups_by_hand(rows):
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     sets = []
