@@ -2,7 +2,8 @@
 
 Patterns give candidate spans. The values' hashes are counted over the distinct
 repositories and owners of the whole corpus: a value that many owners carry is
-a copied example, a live-looking value of a few owners is a credential.
+a copied example, a value of a few owners is a credential. Values that no base
+pattern finds anywhere must also look live.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Candidates beyond the base kinds; they count only where the corpus shows an owner.
 OPAQUE = r"[A-Za-z0-9_-]{20,}"
+#: Tested on opaque candidates only; of the base kinds ownership alone decides.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|test|12345678"
 #: A value of more owners than this is a copied example.
 MOST_OWNERS = 3
@@ -55,7 +57,7 @@ def _spans(text: Column, kind: int, pattern: str, value_of, keep) -> Column:
 
 
 def candidate_spans(text: Column) -> Column:
-    """All candidates of a text by start, then kind: (start, kind, stop, hash, live_looking)."""
+    """All candidates of a text by start, then kind: (start, kind, stop, hash, credential): of a base kind, or live-looking."""
     whole = lambda m: m
     group = lambda m: F.regexp_extract(m, ASSIGN, 2)
     base = F.concat(
@@ -71,7 +73,7 @@ def candidate_spans(text: Column) -> Column:
             F.sort_array(F.concat(b, apart)),
             lambda s: F.struct(
                 s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.xxhash64(s["value"]).alias("hash"),
-                (~s["value"].rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(s["value"], ""))) >= 6)).alias("live_looking"),
+                ((s["kind"] < 3) | (~s["value"].rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(s["value"], ""))) >= 6))).alias("credential"),
             ),
         )
 
@@ -79,15 +81,16 @@ def candidate_spans(text: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """candidates(hash, owner, repo) to hash, n_owners, n_repos.
+    """candidates(hash, owner, repo, credential) to hash, n_owners, n_repos and whether any of them is a credential.
 
     Counted level by level, so that a value or an owner with any share of the
     rows is one row for each task before it is shuffled. Repositories belong to
     their owners. Null owners and repositories count as one of their own.
     """
-    repos = candidates.select("hash", "owner", "repo").distinct()
-    owners = repos.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    any_ = F.max("credential").alias("credential")
+    repos = candidates.groupBy("hash", "owner", "repo").agg(any_)
+    owners = repos.groupBy("hash", "owner").agg(F.count("*").alias("repos"), any_)
+    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), any_)
 
 
 def _scanned(docs: DataFrame, owner: str, repo: str) -> DataFrame:
@@ -101,25 +104,27 @@ def _judged(scanned: DataFrame, most_owners: int) -> DataFrame:
     """One row for each candidate span, with the verdict on its value."""
     each = scanned.select("row_id", "doc_id", "owner", "repo", F.explode("found").alias("s")).select("row_id", "doc_id", "owner", "repo", "s.*")
     known = ownership(each).withColumnRenamed("hash", "of_hash")
-    each = each.join(known, F.col("hash") == F.col("of_hash")).drop("of_hash")
-    return each.withColumn("live", F.col("live_looking") & (F.col("n_owners") <= most_owners))
+    each = each.drop("credential").join(known, F.col("hash") == F.col("of_hash")).drop("of_hash")
+    return each.withColumn("live", F.col("credential") & (F.col("n_owners") <= most_owners))
 
 
 def scan(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners: int = MOST_OWNERS) -> DataFrame:
     """Secrets of every row of docs(doc_id, text, owner, repo).
 
-    Base spans always count. A candidate of kind opaque counts where its value
-    is live-looking and has at most most_owners owners in the corpus.
+    Base spans always count. A value is live if it has at most most_owners
+    owners in the corpus and is of a base kind somewhere, or looks live. A
+    candidate of kind opaque counts where its value is live.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_opaque,
-    n_live, n_examples. Null or empty text has no spans. Null owners count as
+    n_live, n_examples, and live_repos, the most repositories that one of the
+    row's live values lies in (0 without any). Null or empty text has no spans. Null owners count as
     one owner. Repeated rows are scanned each. An empty table gives no rows.
     Other columns of docs are ignored.
     """
     scanned = written(_scanned(docs, owner, repo), "secret-candidates")
     judged = _judged(scanned, most_owners).where("kind < 3 or live")
     text_of = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["stop"])
-    per_row = judged.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("all"))
+    per_row = judged.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("all"), F.max(F.when(F.col("live"), F.col("n_repos"))).alias("live_repos"))
     rows = scanned.select("row_id", "doc_id").join(per_row, "row_id", "left")
     found = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean>>"))
     n = lambda test: F.size(F.filter("all", test)).cast("long")
@@ -129,19 +134,20 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners
         F.sha2(F.array_join(F.transform(F.filter("all", lambda s: s["kind"] < 3), text_of), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("all", text_of), ",").alias("spans"),
         n(of_kind(3)).alias("n_opaque"), n(lambda s: s["live"]).alias("n_live"), n(lambda s: ~s["live"]).alias("n_examples"),
+        F.coalesce("live_repos", F.lit(0)).cast("long").alias("live_repos"),
     )
 
 
 def redact(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners: int = MOST_OWNERS, mark: str = MARK) -> DataFrame:
-    """docs with every live credential in text replaced by mark; copied examples stay.
+    """docs with every live value in text, as in scan(), replaced by mark; copied examples stay.
 
     A verdict belongs to a value, so repeated rows and equal ids agree. n_chars
     is set to the new length where docs has it. Rows, other columns and null
     texts are unchanged.
     """
     scanned = written(_scanned(docs, owner, repo), "secret-candidates")
-    not_live = _judged(scanned, most_owners).where("not live").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("hash").alias("__not_live"))
-    rows = docs.join(not_live, F.col("doc_id").eqNullSafe(F.col("__of")), "left")
+    live = _judged(scanned, most_owners).where("live").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("hash").alias("__live"))
+    rows = docs.join(live, F.col("doc_id").eqNullSafe(F.col("__of")), "left")
     nothing = F.array().cast("array<bigint>")
 
     def cut(spans: Column) -> Column:
@@ -153,8 +159,8 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owne
         tail = F.element_at(F.transform(F.array(done), lambda d: F.concat(d["text"], F.substring(F.col("text"), d["at"] + 1, F.length(F.col("text"))))), 1)
         return F.when(F.size(spans) == 0, F.col("text")).otherwise(tail)
 
-    live = F.filter(candidate_spans(text_or_empty()), lambda s: s["live_looking"] & ~F.array_contains(F.coalesce("__not_live", nothing), s["hash"]))
-    new_text = F.element_at(F.transform(F.array(live), cut), 1)
+    spans = F.filter(candidate_spans(text_or_empty()), lambda s: F.array_contains(F.coalesce("__live", nothing), s["hash"]))
+    new_text = F.element_at(F.transform(F.array(spans), cut), 1)
     rows = rows.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(new_text))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

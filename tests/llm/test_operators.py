@@ -108,6 +108,23 @@ def test_redaction_cuts_live_values_only(spark):
     assert all(copied in got[10 + k] for k in range(9))
 
 
+def test_ownership_decides_on_base_kinds(spark):
+    """Values that look like placeholders, or have few characters, are cut out too unless many owners carry them."""
+    own = ["password=LatestBuild99x", "secret=aaaabbbb", "AKIACONTEST12345678", "0" * 32]
+    shared = "token=Qm81xWb72LkP55"
+    bare, other = "LatestBuild99xKeyAb12", "ContestBuild99xKeyAb12"
+    rows = [(k, f"a {v} b", "en" if k else "de", "s1") for k, v in enumerate(own)] + [(5, f"a {own[0]} b", "fr", "s2")]
+    rows += [(10 + k, f"a {shared} b", "en", f"s{k}") for k in range(4)]
+    rows += [(20, f"token={bare} b", "en", "s1"), (21, f"a {bare} b", "en", "s2"), (22, f"a {other} b", "en", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert {got[k] for k in (0, 1, 2, 3, 5, 21)} == {"a [SECRET] b"} and got[20] == "[SECRET] b"
+    assert {got[10 + k] for k in range(4)} == {f"a {shared} b"} and got[22] == f"a {other} b"
+    scanned = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert {k: scanned[k].n_live for k in scanned} == {k: int(k in (0, 1, 2, 3, 5, 20, 21)) for k in scanned}
+    assert [scanned[k].live_repos for k in (0, 1, 5, 10, 20)] == [2, 1, 2, 0, 2]
+
+
 def rules_by_hand(text):
     words = WORD.findall(text)
     seen, dup = set(), 0
