@@ -174,6 +174,17 @@ def with_address(rows: DataFrame, index: str = "global_idx", chunk_rows: int = C
     return rows.withColumns({"chunk_id": F.floor(F.col(index) / chunk_rows).cast("bigint"), "local_idx": F.pmod(F.col(index), F.lit(chunk_rows)).cast("bigint")})
 
 
+def layer_ranges(store: Store) -> list[tuple[str, int, int]]:
+    """(layer, start_idx, end_idx) of each layer by running sums of their row counts; one row a layer reaches the driver."""
+    counts = [x.rows.agg(F.count("*").alias("n")).select(F.lit(x.name).alias("layer"), "n") for x in store.layers]
+    n_of = {r["layer"]: r["n"] for r in reduce(DataFrame.unionByName, counts).collect()}
+    ranges, start = [], 0
+    for x in store.layers:
+        ranges.append((x.name, start, start + n_of[x.name]))
+        start += n_of[x.name]
+    return ranges
+
+
 def layers_of(index: DataFrame, ranges: DataFrame) -> DataFrame:
     """index(global_idx) with the layer whose [start_idx, end_idx) holds it; ranges has one row for each layer."""
     return index.join(F.broadcast(ranges), (F.col("global_idx") >= F.col("start_idx")) & (F.col("global_idx") < F.col("end_idx"))).drop("start_idx", "end_idx")

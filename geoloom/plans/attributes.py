@@ -106,6 +106,14 @@ def layer_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.layers_of(orders, ranges).groupBy("layer").agg(F.count("*").alias("n"), F.min("global_idx").alias("first_idx"), F.max("global_idx").alias("last_idx"))
 
 
+def layer_of_every_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The global row numbers of all rows of all layers back to their layers, by ranges from the layers' row counts."""
+    ranges = stores.layer_ranges(store(spark, sf_dir))
+    index = spark.range(ranges[-1][2]).select(F.col("id").alias("global_idx"))
+    found = stores.layers_of(index, spark.createDataFrame(ranges, "layer string, start_idx long, end_idx long"))
+    return found.groupBy("layer").agg(F.count("*").alias("n"), F.min("global_idx").alias("first_idx"), F.max("global_idx").alias("last_idx"))
+
+
 def used_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that hold anything, by layer; one layer gets a column that never does."""
     from functools import reduce
@@ -174,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         layer_catalog, compound_query, compound_counts, number_range, any_cell_query, funnel_counts, independent_counts, funnel_report, token_window, gid_fetch, gid_latest,
-        gid_duplicates, gid_missing, gid_resolve, row_addresses, gid_export, layer_by_range, used_columns, distinct_texts, distinct_rows, row_width, decoded_cells, limb_codec,
+        gid_duplicates, gid_missing, gid_resolve, row_addresses, gid_export, layer_by_range, layer_of_every_row, used_columns, distinct_texts, distinct_rows, row_width, decoded_cells, limb_codec,
         audit_totals, gid_validation, field_kinds,
     )
 }
@@ -227,6 +235,9 @@ ORACLE_SQL = {
         (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS g FROM orders) WHERE o_orderstatus = 'F' AND o_totalprice > 300000""",
     "layer_by_range": """SELECT CASE WHEN g < 1000 THEN 'a' WHEN g < 1500 THEN 'b' ELSE 'c' END AS layer, count(*) AS n, min(g) AS first_idx, max(g) AS last_idx
         FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS g FROM orders) WHERE g < 9000 GROUP BY 1""",
+    "layer_of_every_row": "WITH c AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS k, '{t}' AS layer, count(*) AS n FROM {t}" for i, t in enumerate(("lineitem", "orders", "customer", "supplier", "part", "events")))
+    + "), r AS (SELECT layer, n, CAST(sum(n) OVER (ORDER BY k) AS BIGINT) AS stop FROM c) SELECT layer, n, stop - n AS first_idx, stop - 1 AS last_idx FROM r WHERE n > 0",
     "used_columns": " UNION ALL ".join(
         f"SELECT '{t}' AS layer, '{c}' AS columns, count(*) AS n_rows FROM {t}"
         for t, c in (("lineitem", "gid,status,flag,amount"), ("orders", "gid,status,priority,amount"), ("customer", "gid,segment,amount"), ("supplier", "gid,amount"), ("part", "gid,brand,type,price"), ("events", "gid,type,amount"))
