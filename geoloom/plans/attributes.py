@@ -76,6 +76,32 @@ def gid_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.fetch(stores.latest(items, "gid", "l_extendedprice"), _requests(spark, over=7000))
 
 
+def _hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order key that 100 divides; of these every tenth again, and for every fifth a negative id that no row has."""
+    key = F.col("o_orderkey")
+    asked = F.array_compact(F.array(key, F.when(key % 1000 == 0, key), F.when(key % 500 == 0, -1 - key)))
+    each = table(spark, sf_dir, "orders").where(key % 100 == 0).select(key, F.posexplode(asked).alias("at", "gid"))
+    return each.select((3 * key + F.col("at")).alias("pos"), "gid")
+
+
+def gid_fetch_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gid"), "o_totalprice")
+    return stores.fetch(orders, _hundredths(spark, sf_dir))
+
+
+def gid_latest_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("gid"), "l_extendedprice").agg(F.max("l_quantity").alias("l_quantity"))
+    return stores.fetch(stores.latest(items, "gid", "l_extendedprice"), _hundredths(spark, sf_dir))
+
+
+def gid_missing_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.missing_ids(table(spark, sf_dir, "orders"), _hundredths(spark, sf_dir), "o_orderkey")
+
+
+def gid_resolve_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.resolve(table(spark, sf_dir, "lineitem"), _hundredths(spark, sf_dir), "l_orderkey")
+
+
 def gid_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.duplicate_ids(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
@@ -183,7 +209,7 @@ QUERIES = {
     for f in (
         layer_catalog, compound_query, compound_counts, number_range, any_cell_query, funnel_counts, independent_counts, funnel_report, token_window, gid_fetch, gid_latest,
         gid_duplicates, gid_missing, gid_resolve, row_addresses, gid_export, layer_by_range, layer_of_every_row, used_columns, distinct_texts, distinct_rows, row_width, decoded_cells, limb_codec,
-        audit_totals, gid_validation, field_kinds,
+        audit_totals, gid_validation, field_kinds, gid_fetch_hundredths, gid_latest_hundredths, gid_missing_hundredths, gid_resolve_hundredths,
     )
 }
 
@@ -191,6 +217,9 @@ _STATUS_SQL = """SELECT 'lineitem' AS layer, l_orderkey AS gid, l_linestatus AS
 UNION ALL SELECT 'orders', o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 50000"""
 _REQUESTS = "(SELECT i AS pos, i * 37 * 11 % {over} AS gid FROM range(2000) r(i))"
 
+_HUNDREDTHS = """(SELECT 3 * o_orderkey AS pos, o_orderkey AS gid FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT 3 * o_orderkey + 1, o_orderkey FROM orders WHERE o_orderkey % 1000 = 0
+        UNION ALL SELECT 3 * o_orderkey + CASE WHEN o_orderkey % 1000 = 0 THEN 2 ELSE 1 END, -1 - o_orderkey FROM orders WHERE o_orderkey % 500 = 0)"""
+
 
 def _counts(independent: bool) -> str:
     second = "l_extendedprice > 20000" + ("" if independent else " AND l_linestatus IN ('F', 'O', 'X')")
@@ -230,6 +259,12 @@ ORACLE_SQL = {
     "gid_missing": f"SELECT gid, pos FROM {_REQUESTS.format(over=200_000)} q WHERE gid NOT IN (SELECT o_orderkey FROM orders)",
     "gid_resolve": f"""SELECT gid, found, CASE WHEN found = 0 THEN 'missing' WHEN found = 1 THEN 'one' ELSE 'ambiguous' END AS outcome FROM
         (SELECT gid, count(l_orderkey) AS found FROM (SELECT DISTINCT gid FROM {_REQUESTS.format(over=20_000)} r) q LEFT JOIN lineitem ON l_orderkey = gid GROUP BY gid)""",
+    "gid_fetch_hundredths": f"SELECT pos, gid, o_totalprice FROM {_HUNDREDTHS} q JOIN orders ON o_orderkey = gid",
+    "gid_latest_hundredths": f"""SELECT pos, gid, l_extendedprice, l_quantity FROM {_HUNDREDTHS} q JOIN
+        (SELECT l_orderkey, max((l_extendedprice, l_quantity)) AS b, b[1] AS l_extendedprice, b[2] AS l_quantity FROM lineitem GROUP BY l_orderkey) ON l_orderkey = gid""",
+    "gid_missing_hundredths": f"SELECT gid, pos FROM {_HUNDREDTHS} q WHERE gid NOT IN (SELECT o_orderkey FROM orders)",
+    "gid_resolve_hundredths": f"""SELECT gid, found, CASE WHEN found = 0 THEN 'missing' WHEN found = 1 THEN 'one' ELSE 'ambiguous' END AS outcome FROM
+        (SELECT gid, count(l_orderkey) AS found FROM (SELECT DISTINCT gid FROM {_HUNDREDTHS} r) q LEFT JOIN lineitem ON l_orderkey = gid GROUP BY gid)""",
     "row_addresses": "SELECT o_orderkey, g AS global_idx, g // 1000 AS chunk_id, g % 1000 AS local_idx FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS g FROM orders)",
     "gid_export": """SELECT o_orderkey, o_orderstatus, o_totalprice, g AS global_idx, g // 1000 AS chunk_id, g % 1000 AS local_idx FROM
         (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS g FROM orders) WHERE o_orderstatus = 'F' AND o_totalprice > 300000""",

@@ -54,6 +54,14 @@ def sample_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.located(wanted, shard_manifest(spark, sf_dir))
 
 
+def sample_places_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample whose number 100 divides; of these every tenth again, and for every fifth a negative number that no shard holds."""
+    index = F.col("global_idx")
+    asked = F.array_compact(F.array(index, F.when(index % 1000 == 0, index), F.when(index % 500 == 0, -1 - index)))
+    wanted = _orders(spark, sf_dir).where(index % 100 == 0).select(F.explode(asked).alias("index"))
+    return shards.located(wanted, shard_manifest(spark, sf_dir))
+
+
 def pairing_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with labels, and labels without documents, in different numbers."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
@@ -103,7 +111,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         modulo_split, hash_split, sample_ranks, row_batches, packed_shards, shard_manifest, manifest_totals, sample_places, pairing_faults, weighted_means, rank_means, best_values, metric_alerts,
-        collapse_guard, series_medians, schedules,
+        collapse_guard, series_medians, schedules, sample_places_hundredths,
     )
 }
 
@@ -123,6 +131,8 @@ ORACLE_SQL = {
     "shard_manifest": f"WITH {_MANIFEST} SELECT * FROM manifest",
     "manifest_totals": f"WITH {_MANIFEST} SELECT count(*) AS shards, CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(bytes) AS BIGINT) AS bytes, avg(samples) AS mean_samples FROM manifest",
     "sample_places": f"WITH {_MANIFEST} SELECT i * 7 AS \"index\", shard, i * 7 - start_index AS \"local\" FROM range(200) r(i) JOIN manifest ON i * 7 >= start_index AND i * 7 < start_index + samples",
+    "sample_places_hundredths": f"""WITH {_MANIFEST}, asked AS (SELECT g FROM {_IDX} WHERE g % 100 = 0 UNION ALL SELECT g FROM {_IDX} WHERE g % 1000 = 0 UNION ALL SELECT -1 - g FROM {_IDX} WHERE g % 500 = 0)
+        SELECT g AS "index", shard, g - start_index AS "local" FROM asked JOIN manifest ON g >= start_index AND g < start_index + samples""",
     "pairing_faults": """SELECT doc_id, a AS n_left, b AS n_right FROM (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT doc_id, count(*) AS a FROM documents GROUP BY 1) d
         FULL JOIN (SELECT doc_id, count(*) AS b FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id) WHERE a != b""",
     "weighted_means": "SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS mean FROM lineitem GROUP BY 1",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.columns import from_limbs, limbs, ramp
 from geoloom.operators import fourier, geometry, metrics, raster, shards, spatial, store, vectors
 from geoloom.operators.store import Layer, Request, Store
-from geoloom.plans import attributes, tables
+from geoloom.plans import attributes, series, tables
 from geoloom.plans.tables import polygons, triangles
 from geoloom.sources import files
 from geoloom.streaming.guard import guard_stream, ingest
@@ -277,3 +277,20 @@ def test_layer_ranges_cover_every_row(spark):
         assert got.pop(layer.name) == (n, start, start + n - 1)
         start += n
     assert not got
+
+
+def test_lookups_reach_every_hundredth_row(spark):
+    """At sf0.01 fixed requests end at id 6,999 and sample 1,399 of 15,000."""
+    sf = "/root/testdata/sf0.01"
+    keys = {r[0] for r in tables.table(spark, sf, "orders").select("o_orderkey").collect()}
+    items = {r[0] for r in tables.table(spark, sf, "lineitem").select("l_orderkey").distinct().collect()}
+    asked = {k for k in keys if k % 100 == 0}
+    absent = {-1 - k for k in asked if k % 500 == 0}
+    twice = [k for k in asked if k % 1000 == 0]
+    fetched = attributes.gid_fetch_hundredths(spark, sf).collect()
+    assert max(asked) > 14_000 and sorted(r.gid for r in fetched) == sorted([*asked, *twice]) and len({r.pos for r in fetched}) == len(fetched)
+    assert sorted(r.gid for r in attributes.gid_latest_hundredths(spark, sf).collect()) == sorted(k for k in [*asked, *twice] if k in items)
+    assert {r.gid for r in attributes.gid_missing_hundredths(spark, sf).collect()} == absent
+    assert {r.gid for r in attributes.gid_resolve_hundredths(spark, sf).collect()} == asked | absent
+    n = len(keys)
+    assert sorted(r["index"] for r in series.sample_places_hundredths(spark, sf).collect()) == sorted([*range(0, n, 100), *range(0, n, 1000)])
