@@ -76,6 +76,12 @@ def augmented_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.where("repeat = 0").groupBy("gid").agg(F.round(F.sum(geometry.triangle_area()), 8).alias("area"))
 
 
+def augmented_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas of all three copies of each polygon, the turned, scaled and moved ones included."""
+    made = geometry.augmented(triangles(spark, sf_dir), 3)
+    return made.groupBy("gid", "repeat").agg(F.count("*").alias("n"), F.round(F.sum(geometry.triangle_area()), 8).alias("area"))
+
+
 def frequency_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fourier.frequency_grid(spark, FREQUENCIES, 4)
     return g.select("u_idx", "v_idx", *[F.round(c, 8).alias(c) for c in ("u", "v", "du", "dv")], "valid")
@@ -169,7 +175,7 @@ def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        triangle_areas, polygon_areas, polygon_profiles, polygon_meta, normalised_boxes, clean_rings, shortest_edges, triangulated_areas, degenerate_counts, quality_counters, augmented_areas,
+        triangle_areas, polygon_areas, polygon_profiles, polygon_meta, normalised_boxes, clean_rings, shortest_edges, triangulated_areas, degenerate_counts, quality_counters, augmented_areas, augmented_copies,
         frequency_grid, polygon_spectra, spectrum_channels, spectrum_products, rasters, span_weights, occupancy, iou, image_metrics, overlap_losses, masked_losses, image_sizes, sampled_points, resized_images,
     )
 }

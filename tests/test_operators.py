@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.columns import from_limbs, limbs, ramp
 from geoloom.operators import fourier, geometry, metrics, raster, shards, spatial, store, vectors
 from geoloom.operators.store import Layer, Request, Store
-from geoloom.plans import attributes, series, tables
+from geoloom.plans import attributes, series, shapes, tables
 from geoloom.plans.tables import polygons, triangles
 from geoloom.sources import files
 from geoloom.streaming.guard import guard_stream, ingest
@@ -294,3 +294,36 @@ def test_lookups_reach_every_hundredth_row(spark):
     assert {r.gid for r in attributes.gid_resolve_hundredths(spark, sf).collect()} == asked | absent
     n = len(keys)
     assert sorted(r["index"] for r in series.sample_places_hundredths(spark, sf).collect()) == sorted([*range(0, n, 100), *range(0, n, 1000)])
+
+
+def test_augmented_copies_equal_brute_force(spark):
+    """Small triangles stay within the box, so areas grow by scale squared; large ones are clipped at it."""
+    rows = [(g, t, *[size * turn(2 * g + t + k * 2.1) for k in range(3) for turn in (math.cos, math.sin)]) for g, size in ((1, 0.3), (2, 0.6), (3, 1.0)) for t in range(2)]
+    columns = ["ax", "ay", "bx", "by", "cx", "cy"]
+    shapes_ = spark.createDataFrame(rows, "gid long, tri_no int, " + ", ".join(f"{c} double" for c in columns))
+    ids = shapes_.select("gid").distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    hashes = {(r.gid, r.repeat): r[2:] for r in ids.select("gid", "repeat", *[F.xxhash64("gid", "repeat", F.lit(0), F.lit(k)) for k in range(4)]).collect()}
+    area = lambda p: abs((p[2] - p[0]) * (p[5] - p[1]) - (p[4] - p[0]) * (p[3] - p[1])) / 2
+    made = {(r.gid, r.repeat, r.tri_no): [r[c] for c in columns] for r in geometry.augmented(shapes_, 3).collect()}
+    assert len(made) == 3 * len(rows)
+    clipped = 0
+    for gid, tri, *p in rows:
+        assert made[gid, 0, tri] == p
+        for repeat in (1, 2):
+            a, s, x, y = (h % 2**32 / 2**32 * 2 - 1 for h in hashes[gid, repeat])
+            a, s, x, y = a * math.pi, 1 + s * 0.2, x * 0.1, y * 0.1
+            free = [v for px, py in zip(p[::2], p[1::2], strict=True) for v in ((math.cos(a) * px - math.sin(a) * py) * s + x, (math.sin(a) * px + math.cos(a) * py) * s + y)]
+            got = made[gid, repeat, tri]
+            assert np.allclose(got, np.clip(free, -1, 1), atol=1e-12) and not np.allclose(got, p)
+            if max(map(abs, free)) <= 1:
+                assert math.isclose(area(got), s * s * area(p), rel_tol=1e-9)
+            else:
+                clipped += 1
+    assert 0 < clipped < 2 * len(rows)
+
+
+def test_all_augmented_copies_are_returned(spark, sf_dir):
+    got = {(r.gid, r.repeat): r.area for r in shapes.augmented_copies(spark, sf_dir).collect()}
+    first = {r.gid: r.area for r in shapes.augmented_areas(spark, sf_dir).collect()}
+    assert set(got) == {(g, k) for g in first for k in range(3)}
+    assert all(got[g, 0] == a and got[g, 1] != a and got[g, 2] != a for g, a in first.items())
