@@ -2,9 +2,11 @@
 
 A rolling hash over the last characters cuts texts at the same places wherever
 the same passage stands, so documents with a passage in common have chunks in
-common. Such chunks are encoded once and remembered. Where two chunks meet
-inside a word, a window around the join is encoded again and widened until its
-outer words give the very tokens that the chunks have there.
+common. No chunk is encoded as a whole and no window is encoded again: words
+between white space are encoded once and remembered, a chunk's ids are those of
+its inner words end to end, and a word that lies over a join is glued together
+and encoded as one word. That is exact because no match of this tokenizer's
+splitting pattern holds white space and no normalising step reaches across it.
 """
 
 from __future__ import annotations
