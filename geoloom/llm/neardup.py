@@ -37,6 +37,8 @@ BATCH = 32
 ROUNDS, PART, FEW = 6, 16, 20
 #: Buckets of more members are compared in blocks of BLOCK by BLOCK; pairs are listed in smaller ones only.
 LISTED, BLOCK = 8, 512
+#: Shingles of one block, about, so that memory follows neither the members nor the length of their texts.
+BLOCK_SHINGLES = 2_000_000
 #: A pair is pruned once the chance that it reaches the threshold is below this.
 MISS = 1e-6
 
@@ -64,7 +66,11 @@ def set_classes(sets: list[np.ndarray]) -> list[int | None]:
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each MinHash is kept to its upper 16 bits: four of them are a band's key of 64 bits."""
+    """Each MinHash is mixed and kept to 16 bits: four of them are a band's key of 64 bits.
+
+    A minimum over many shingles has hardly any upper bits of its own, so
+    without mixing all long texts would agree.
+    """
     for pdf in batches:
         for first, block in blocks(pdf["text"].tolist()):
             members, counts = shingle_sets(block, WIDTH)
@@ -73,7 +79,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             signatures: list = [None] * len(block)
             if len(full):
                 hashes = min_hashes(members, (np.cumsum(counts) - counts)[full], BANDS * ROWS)
-                for at, h in zip(full, (hashes >> np.uint64(48)).astype(np.uint16), strict=True):
+                for at, h in zip(full, (mix(hashes) >> np.uint64(48)).astype(np.uint16), strict=True):
                     signatures[at] = h.tobytes()
             yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first : first + len(block)].astype("Int64").array, "n_shingles": counts, "cls": pd.array(names, "Int64"), "signature": signatures})
 
@@ -259,7 +265,10 @@ def _groups(docs: DataFrame, percent: int, miss: float) -> tuple[DataFrame, Data
 
     # Larger buckets meet block by block: what is emitted is what a finer look leaves over, not their pairs.
     carried = placed.where(F.col("n") > LISTED).join(sets.select("cls", "short", "size").join(needed.select("cls", "signature"), "cls"), "cls")
-    blocked = carried.withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "own": F.pmod(F.xxhash64("cls", F.lit("block")), F.ceil(F.col("n") / BLOCK)).cast("int")})
+    lengths = placed.where(F.col("n") > LISTED).select("band", "cls").join(sets.select("cls", "size"), "cls").groupBy("band").agg(F.sum("size").alias("shingles"))
+    n_blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    blocked = carried.join(lengths.withColumnRenamed("band", "of_band"), F.col("band") == F.col("of_band")).drop("of_band").withColumn("blocks", n_blocks)
+    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = blocked.where(F.col("group") != F.col("top")).select("band", F.col("own").alias("i"), every.alias("j"), "cls", "group", "signature", "short", "size")
     right = blocked.select("band", every.alias("i"), F.col("own").alias("j"), "cls", "group", "top", "signature", "short", "size")
