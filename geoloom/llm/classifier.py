@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import small_batches, text_or_empty, written
+from geoloom.llm.common import id_text, small_batches, text_or_empty, written
 from geoloom.llm.kernels import LOWER, blocks, mix
 
 #: Token types are hashed to so many; vectors have so many dimensions, of which the index vectors use a few.
@@ -28,6 +29,8 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 150, 0.01, 1e-4
 CALIBRATION = 5
 #: Token types of a table part; parts are what tasks send to be summed.
 PART = 512
+#: Tasks whose sums are added up first, as many for each part.
+SUMMERS = 64
 
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -101,7 +104,15 @@ def _context_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts = sums.reshape(TYPES // PART, -1)
     full = np.flatnonzero(np.abs(parts).any(axis=1))
     if len(full):
-        yield pd.DataFrame({"part": full.astype(np.int32), "sums": [parts[i].tolist() for i in full]})
+        yield pd.DataFrame({"part": full.astype(np.int32), "task": TaskContext.get().partitionId() % SUMMERS, "sums": [parts[i].tobytes() for i in full]})
+
+
+def _added(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(PART * (DIMENSIONS + 1))
+    for pdf in batches:
+        for x in pdf["sums"]:
+            total += np.frombuffer(x)
+    yield pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -110,13 +121,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     Tasks sum over their rows, and the partial sums are added up by table part.
     What reaches the driver is one table of TYPES rows, whatever the corpus.
     """
-    sums = docs.select(text_or_empty().alias("text")).mapInPandas(_context_sums, "part int, sums array<double>")
-    # Sums of whole numbers, so their order does not matter.
-    each = sums.select("part", F.posexplode("sums").alias("at", "value")).groupBy("part", "at").agg(F.sum("value").alias("value"))
-    rows = each.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda s: s["value"]).alias("sums")).collect()
+    sums = docs.select(text_or_empty().alias("text")).mapInPandas(_context_sums, "part int, task int, sums binary")
+    # Sums of whole numbers, so their order does not matter. Two levels: first over some of the tasks, then over all.
+    some = sums.groupBy("part", "task").applyInPandas(_added, "part int, sums binary")
+    rows = some.groupBy("part").applyInPandas(_added, "part int, sums binary").collect()
     table = np.zeros((TYPES // PART, PART * (DIMENSIONS + 1)))
     for r in rows:
-        table[r["part"]] = r["sums"]
+        table[r["part"]] = np.frombuffer(r["sums"])
     table = table.reshape(TYPES, DIMENSIONS + 1)
     seen = table[:, DIMENSIONS]
     common = table[:, :DIMENSIONS].sum(axis=0) / max(1.0, seen.sum())
@@ -208,10 +219,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST
             made = pooled(pdf["text"].tolist(), vectors)
             if not len(made):
                 continue
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "pooled": list(made)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "pooled": list(made)})
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = written(base.mapInPandas(pool, "doc_id long, pooled array<float>"), "quality-pooled")
+    base = docs.select(id_text().alias("doc_id"), text_or_empty().alias("text"))
+    rows = written(base.mapInPandas(pool, "doc_id string, pooled array<float>").withColumn("doc_id", F.col("doc_id").cast("long")), "quality-pooled")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where(_fold(F.col("doc_id")) != 1)
     chosen = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).toPandas()
     marks = chosen["quality"].to_numpy(int)
@@ -225,7 +236,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST
             for pdf in batches:
                 if len(pdf):
                     made = np.stack(pdf["pooled"].to_numpy()).astype(float)
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": network.probabilities(made)})
+                    yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": network.probabilities(made)})
 
-        scored = rows.mapInPandas(score, "doc_id long, score double")
+        scored = rows.withColumn("doc_id", id_text()).mapInPandas(score, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
     return scored.select("doc_id", (_fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -20,8 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the cluster names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
+    """The shared folder for intermediate tables, as the cluster names it; a local one for local sessions that name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or LOCAL_WORK_DIR).rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -33,18 +36,46 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_path = path
+    return made
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Holds Arrow batches to so few rows that very long texts fit in a worker."""
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As `written`, laid out in buckets of key: joins on key do not shuffle this side, however many there are."""
+    spark = df.sparkSession
+    name, pieces = f"{label}-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = f"{work_dir(spark)}/{name}", name.replace("-", "_")
+    df.repartition(pieces, key).write.bucketBy(pieces, key).option("path", path).saveAsTable(table)
+    made = spark.table(table)
+    made.written_path, made.table_name = path, table
+    return made
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a table made by `written` or `bucketed`, once all that was made from it is written itself."""
+    if "table_name" in vars(table):
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.table_name}")
+    jvm, path = table.sparkSession._jvm, table.written_path
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 512, bytes_: str = "32m") -> None:
+    """Holds Arrow batches to so few rows and bytes that very long texts fit in a worker, for the rest of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def id_text(name: str = "doc_id") -> Column:
+    """An id as text, for Arrow batches: pandas turns longs that stand beside nulls into doubles, which do not hold them all."""
+    return F.col(name).cast("long").cast("string")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import small_batches, text_or_empty, written
+from geoloom.llm.common import id_text, small_batches, text_or_empty, written
 from geoloom.llm.kernels import NOT_ALNUM, Words, blocks, mix, shared
 
 #: The anchors, common words of English, French, German and Spanish.
@@ -113,12 +113,10 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
         if len(texts):
             before, before_set, before_range = texts[-1], sets[-1], pdf["range"].iat[-1]
-        made = pd.DataFrame(out, columns=OUT_NAMES)
-        made["doc_id"] = made["doc_id"].astype("Int64")
-        yield made
+        yield pd.DataFrame(out, columns=OUT_NAMES)
 
 
-OUT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_partition int"
+OUT_SCHEMA = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_partition int"
 OUT_NAMES = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
 
 
@@ -154,14 +152,15 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     places = F.filter(F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(F.col("guest_range").alias("range"), F.lit(True).alias("guest"))), lambda p: p["range"].isNotNull())
     dealt = twice.select("doc_id", "text", "digest", F.explode(places).alias("place")).select("doc_id", "text", "digest", "place.range", "place.guest")
     dealt = dealt.repartition(pieces // 4, "range").sortWithinPartitions("range", F.col("guest").desc(), F.col("doc_id").asc_nulls_first(), "digest")
-    return dealt.select("doc_id", "text", "range", "guest").mapInPandas(_compared, OUT_SCHEMA)
+    made = dealt.select(id_text().alias("doc_id"), "text", "range", "guest").mapInPandas(_compared, OUT_SCHEMA)
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for first, block in blocks(pdf["text"].tolist()):
             sets = signature_sets(block)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first : first + len(block)].astype("Int64").array, "fingerprint": [as_text(s) for s in sets], "signatures": [s.astype(np.int64) for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first : first + len(block)].array, "fingerprint": [as_text(s) for s in sets], "signatures": [s.astype(np.int64) for s in sets]})
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -174,7 +173,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     are checked before sets are compared.
     """
     small_batches(docs.sparkSession)
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_signatures, "doc_id long, fingerprint string, signatures array<long>")
+    signed = docs.select(id_text().alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_signatures, "doc_id string, fingerprint string, signatures array<long>")
     sets = written(signed.select(F.md5(F.col("fingerprint").cast("binary")).alias("id"), "signatures").dropDuplicates(["id"]), "spotsigs")
     sets = sets.withColumn("n", F.size("signatures")).withColumn("part", F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int"))
     each = sets.select("id", "n", "part", F.explode("signatures").alias("sig"))
@@ -196,5 +195,5 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and the class of its fingerprint, as `similar` names them."""
     small_batches(docs.sparkSession)
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_signatures, "doc_id long, fingerprint string, signatures array<long>")
-    return signed.select("doc_id", F.md5(F.col("fingerprint").cast("binary")).alias("class_id"))
+    signed = docs.select(id_text().alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_signatures, "doc_id string, fingerprint string, signatures array<long>")
+    return signed.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("fingerprint").cast("binary")).alias("class_id"))
