@@ -2,49 +2,70 @@
 
 A rolling hash over the last characters cuts texts at the same places wherever
 the same passage stands, so documents with a passage in common have chunks in
-common. No chunk is encoded as a whole and no window is encoded again: words
-between white space are encoded once and remembered, a chunk's ids are those of
-its inner words end to end, and a word that lies over a join is glued together
-and encoded as one word. That is exact because no match of this tokenizer's
-splitting pattern holds white space and no normalising step reaches across it.
+common. Each chunk is encoded once and remembered. Within a new chunk, words that
+the worker has met before are not encoded again: white space belongs to no
+token, so a chunk's tokens are those of its words. Where two chunks join, their
+tokens may differ from those of the text, so a window over the join is encoded
+as it stands. It is widened until, on both sides of the join, all its tokens
+between the outermost ends of words are exactly those of the chunks; then it
+replaces theirs in between. Windows that come to overlap go on as one, at last
+as the whole text.
+
+A text may be parted at ends of words, as no match of the splitting pattern
+holds white space and no normalising step reaches across it.
 """
 
 from __future__ import annotations
 
 import re
-import struct
+from array import array
 from collections.abc import Iterator
-from typing import NamedTuple
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import SPACES, WORD, small_batches, text_or_empty
+from geoloom.llm.common import WORD, id_text, small_batches, text_or_empty
 from geoloom.llm.tokens import tokenizer
 
 #: A cut falls where this many bits of the rolling hash are zero: about every 2**CUT_BITS characters.
 CUT_BITS = 10
 LEAST_CHUNK, MOST_CHUNK = 256, 8192
-#: A worker forgets its chunks or words when it holds so many.
-MOST_CHUNKS, MOST_WORDS = 10_000, 800_000
+#: A worker forgets its chunks when they have so many characters together.
+MOST_REMEMBERED = 8_000_000
+#: A worker forgets its words when it has met so many different ones.
+MOST_WORDS = 500_000
+#: Characters of the first window on each side of a join.
+WINDOW = 64
+#: Characters that the library encodes at once, about; its results take many times their memory.
+AT_ONCE = 1_000_000
 
 _WORD = re.compile(WORD)
+_WORD_END = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?=[ \t\n\r\x0b\x0c])")
 #: What str.split() takes for white space besides the six characters that part words here.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def words_of(piece: str) -> list[str]:
-    return _WORD.findall(piece) if _OTHER_SPACE.search(piece) else piece.split()
+def words_of(piece: str) -> tuple[list[str], np.ndarray]:
+    """The words of a piece and where each starts."""
+    words = _WORD.findall(piece) if _OTHER_SPACE.search(piece) else piece.split()
+    points = _points(piece)
+    solid = (points != 32) & ((points < 9) | (points > 13))
+    solid[1:] &= ~solid[:-1]
+    return words, np.flatnonzero(solid)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def cuts(text: str, bits: int = CUT_BITS) -> list[int]:
     """Where the chunks of a text end. Each character's hash covers the 16 characters up to it."""
     if len(text) <= LEAST_CHUNK:
         return [len(text)]
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = (points ^ np.uint32(0x9E3779B9)) * np.uint32(0x85EBCA6B)
+    h = (_points(text) ^ np.uint32(0x9E3779B9)) * np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(15)
     for span in (1, 2, 4, 8):
         rolled = h.copy()
@@ -62,108 +83,173 @@ def cuts(text: str, bits: int = CUT_BITS) -> list[int]:
     return found
 
 
-class Chunk(NamedTuple):
-    """A chunk's encoding: its outer words, which may go on in the neighbours, and all that lies between."""
+@dataclass
+class Tokens:
+    """Token ids, with a place for each that lies in the token's word and not after its first character."""
 
-    head: str
-    tail: str
-    opens: bool  # white space comes first
-    closes: bool  # white space comes last
-    ids: bytes  # of the inner words
-    text: list[str]
+    ids: np.ndarray
+    places: np.ndarray
 
+    def between(self, low: int, high: int) -> Tokens:
+        """The tokens of the words between two ends of words."""
+        a, b = np.searchsorted(self.places, [low, high])
+        return Tokens(self.ids[a:b], self.places[a:b])
 
-class Encoder:
-    """Encodes and decodes with one tokenizer file; remembers words and chunks up to fixed numbers.
+    def moved(self, by: int) -> Tokens:
+        return Tokens(self.ids, self.places + by)
+
+
+def _joined(parts: list[Tokens]) -> Tokens:
+    return Tokens(np.concatenate([p.ids for p in parts]), np.concatenate([p.places for p in parts]))
+
+
+def _word_ends(text: str, low: int, high: int) -> list[int]:
+    return [m.start() for m in _WORD_END.finditer(text, low, min(len(text), high + 1)) if m.start() < high]
+
+
+@dataclass
+class Window:
+    """text[low:high], over the joins first to last; `repair` once it agrees: the tokens for all between two places."""
+
+    low: int
+    high: int
+    first: int
+    last: int
+    repair: tuple[int, int, Tokens] | None = None
 
-    No match of the file's splitting pattern holds white space, and none of its
-    normalising steps reaches across it. So what lies between two places with
-    white space is encoded alike alone and in its text.
-    """
+
+class Document:
+    """A text under way: the tokens of its chunks and the windows over their joins."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends = cuts(text)
+        self.windows = [Window(max(0, c - WINDOW), min(len(text), c + WINDOW), c, c) for c in self.ends[:-1]]
+        self.tokens = Tokens(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def pieces(self) -> list[str]:
+        return [self.text[a:b] for a, b in zip([0, *self.ends], self.ends, strict=False)]
+
+    def merge(self) -> None:
+        """Windows that overlap become one, which is not repaired yet."""
+        kept: list[Window] = []
+        for w in self.windows:
+            if kept and w.low < kept[-1].high:
+                k = kept[-1]
+                kept[-1] = Window(min(k.low, w.low), max(k.high, w.high), k.first, w.last)
+            else:
+                kept.append(w)
+        self.windows = kept
+
+    def settle(self, w: Window, made: Tokens) -> None:
+        """Repairs the joins of a window if its tokens agree with the chunks' on both sides, else widens the sides that do not."""
+        made = made.moved(w.low)
+        left, right = 0, len(self.text)
+        agreed = [True, True]
+        if w.low > 0:
+            places = _word_ends(self.text, w.low + 1, w.first + 1)
+            agreed[0] = self._agree(made, places)
+            left = places[-1] if places else 0
+        if w.high < len(self.text):
+            places = _word_ends(self.text, w.last, w.high)
+            agreed[1] = self._agree(made, places)
+            right = places[0] if places else right
+        if all(agreed):
+            w.repair = (left, right, made.between(left, right))
+        if not agreed[0]:
+            w.low = max(0, w.first - 2 * (w.first - w.low))
+        if not agreed[1]:
+            w.high = min(len(self.text), w.last + 2 * (w.high - w.last))
+
+    def _agree(self, made: Tokens, places: list[int]) -> bool:
+        if len(places) < 2:
+            return False
+        mine = made.between(places[0], places[-1])
+        return len(mine.ids) > 0 and np.array_equal(mine.ids, self.tokens.between(places[0], places[-1]).ids)
+
+    def ids(self) -> np.ndarray:
+        parts, at = [], 0
+        for w in self.windows:
+            left, right, made = w.repair
+            parts += [self.tokens.between(at, left).ids, made.ids]
+            at = right
+        return np.concatenate([*parts, self.tokens.between(at, len(self.text)).ids])
+
+
+class Encoder:
+    """Encodes and decodes with one tokenizer file; remembers chunks up to a fixed number of characters."""
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, Chunk] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes and decodes the words not known yet, in batches."""
+        self.chunks: dict[str, Tokens] = {}
+        self.words: dict[str, bytes] = {}
+        self.remembered = self.n_chunks = self.n_windows = self.n_widened = 0
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new chunks and remembers them."""
+        cut = {p: words_of(p) for p in pieces}
+        words = {w for found, _ in cut.values() for w in found}
         if len(self.words) + len(words) > MOST_WORDS:
             self.words.clear()
         new = list(words - self.words.keys())
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            ids = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            decoded = self.library.decode_batch(ids, skip_special_tokens=False)
-            self.words.update((w, (struct.pack(f"<{len(i)}I", *i), d)) for w, i, d in zip(some, ids, decoded, strict=True))
-
-    def _chunk(self, piece: str, words: list[str]) -> Chunk:
-        known = [self.words[w] for w in words[1:-1]]
-        opens, closes = piece[:1] in SPACES, piece[-1:] in SPACES
-        return Chunk(words[0] if words else "", words[-1] if len(words) > 1 else "", opens, closes, b"".join(k[0] for k in known), [k[1] for k in known if k[0]])
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text."""
-        pieces = []
-        for text in texts:
-            ends = cuts(text)
-            pieces.append([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        if len(self.chunks) > MOST_CHUNKS:
+        for first, stop in _runs([len(w) for w in new]):
+            made = self.library.encode_batch_fast(new[first:stop], add_special_tokens=False)
+            self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(new[first:stop], made, strict=True))
+        for p, (found, places) in cut.items():
+            known = [self.words[w] for w in found]
+            self.chunks[p] = Tokens(np.frombuffer(b"".join(known), np.uint32), np.repeat(places, np.array(list(map(len, known)), np.int64) // 4))
+        self.remembered += sum(map(len, pieces))
+        self.n_chunks += len(pieces)
+
+    def _windows(self, pieces: list[str]) -> dict[str, Tokens]:
+        """Encodes windows as they stand."""
+        found: dict[str, Tokens] = {}
+        for first, stop in _runs([len(p) for p in pieces]):
+            for p, e in zip(pieces[first:stop], self.library.encode_batch(pieces[first:stop], add_special_tokens=False), strict=True):
+                found[p] = Tokens(np.array(e.ids, np.uint32), np.array([o[0] for o in e.offsets], np.int64))
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        docs = [Document(t) for t in texts]
+        if self.remembered > MOST_REMEMBERED:
             self.chunks.clear()
-        new = {p: words_of(p) for p in {p for row in pieces for p in row} - self.chunks.keys()}
-        joins = {w for row in pieces for w in self._outer_words(row, new)}
-        self.learn(joins.union(*(words[1:-1] for words in new.values())))
-        self.chunks.update((p, self._chunk(p, words)) for p, words in new.items())
-        return [self._joined(row) for row in pieces]
-
-    def _outer_words(self, row: list[str], new: dict[str, list[str]]) -> list[str]:
-        """The words at the joins of a text's chunks, whole: windows grow over the joins until white space ends them on both sides."""
-        found, held = [], ""
-        for p in row:
-            if p in self.chunks:
-                c = self.chunks[p]
-                head, tail, opens, closes = c.head, c.tail, c.opens, c.closes
-            else:
-                words = new[p]
-                head, tail, opens, closes = words[0] if words else "", words[-1] if len(words) > 1 else "", p[:1] in SPACES, p[-1:] in SPACES
-            if opens and held:
-                found.append(held)
-                held = ""
-            held += head
-            if tail:
-                found.append(held)
-                held = tail
-            if closes and held:
-                found.append(held)
-                held = ""
-        return [*found, held] if held else found
-
-    def _joined(self, row: list[str]) -> tuple[bytes, str]:
-        """The chunks of one text in order, with each window over a join in place of the outer words it covers."""
-        outer = iter(self._outer_words(row, {}))
-        ids, text, held = [], [], False
-
-        def take() -> None:
-            i, t = self.words[next(outer)]
-            ids.append(i)
-            text.extend([t] if i else [])
-
-        for c in (self.chunks[p] for p in row):
-            if c.opens and held:
-                take()
-                held = False
-            held = held or bool(c.head)
-            if c.tail:
-                take()
-                ids.append(c.ids)
-                text.extend(c.text)
-                held = True
-            if c.closes and held:
-                take()
-                held = False
-        if held:
-            take()
-        return b"".join(ids), " ".join(text)
+            self.remembered = 0
+        self._learn(list(dict.fromkeys(p for d in docs for p in d.pieces() if p and p not in self.chunks)))
+        for d in docs:
+            if d.text:
+                starts = [0, *d.ends[:-1]]
+                d.tokens = _joined([self.chunks[p].moved(a) for p, a in zip(d.pieces(), starts, strict=True)])
+        while True:
+            for d in docs:
+                d.merge()
+            todo = [(d, w) for d in docs for w in d.windows if w.repair is None]
+            if not todo:
+                return [d.ids() for d in docs]
+            made = self._windows(list(dict.fromkeys(d.text[w.low : w.high] for d, w in todo)))
+            self.n_windows += len(made)
+            for d, w in todo:
+                d.settle(w, made[d.text[w.low : w.high]])
+                self.n_widened += w.repair is None
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The text of each row of ids."""
+        found: list[str] = []
+        for first, stop in _runs([len(i) for i in ids]):
+            found += self.library.decode_batch([i.tolist() for i in ids[first:stop]], skip_special_tokens=False)
+        return found
+
+
+def _runs(sizes: list[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have about `most` together."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -186,10 +272,14 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = encoder(path).encode(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [len(i) // 4 for i, _ in made], "ids": [i for i, _ in made], "decoded": [t for _, t in made]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(encode, "doc_id long, n_tokens long, ids binary, decoded string")
+            texts = pdf["text"].tolist()
+            for first, stop in _runs([len(t) for t in texts]):
+                made = encoder(path).encode(texts[first:stop])
+                packed = [i.astype("<u4").tobytes() for i in made]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first:stop].array, "n_tokens": list(map(len, made)), "ids": packed, "decoded": encoder(path).decode(made)})
+
+    made = docs.select(id_text().alias("doc_id"), text_or_empty().alias("text")).mapInPandas(encode, "doc_id string, n_tokens long, ids binary, decoded string")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
