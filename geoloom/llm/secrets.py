@@ -23,8 +23,10 @@ HEX = r"[0-9a-f]{32,}"
 OPAQUE = r"[A-Za-z0-9_-]{20,}"
 #: Tested on opaque candidates only; of the base kinds ownership alone decides.
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|test|12345678"
-#: A value of more owners than this is a copied example.
-MOST_OWNERS = 3
+#: An opaque value is live-looking from so many bits of entropy a character on; generated keys have about 4 to 6.
+LEAST_ENTROPY = 3.5
+#: A value of more owners than this is a copied example, and so is one in more repositories, whoever owns them.
+MOST_OWNERS, MOST_REPOS = 3, 8
 MARK = "[SECRET]"
 
 
@@ -33,6 +35,14 @@ def _is_opaque(value: Column) -> Column:
     return value.rlike("[a-z]") & value.rlike("[A-Z]") & (F.regexp_count(value, F.lit("[0-9]")) >= 4)
 
 
+def entropy(value: Column) -> Column:
+    """Bits of Shannon entropy for each character of a value."""
+    chars = F.split(value, "")
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+    bits = F.transform(F.array_distinct(chars), lambda c: -share(c) * F.log2(share(c)))
+    return F.aggregate(bits, F.lit(0.0), lambda a, x: a + x)
+
+
 def _spans(text: Column, kind: int, pattern: str, value_of, keep) -> Column:
     """The kept matches of a pattern as (start, kind, stop, value), by start, in code points.
 
@@ -73,7 +83,7 @@ def candidate_spans(text: Column) -> Column:
             F.sort_array(F.concat(b, apart)),
             lambda s: F.struct(
                 s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.xxhash64(s["value"]).alias("hash"),
-                ((s["kind"] < 3) | (~s["value"].rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(s["value"], ""))) >= 6))).alias("credential"),
+                ((s["kind"] < 3) | (~s["value"].rlike(PLACEHOLDER) & (entropy(s["value"]) >= LEAST_ENTROPY))).alias("credential"),
             ),
         )
 
@@ -95,25 +105,26 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def _scanned(docs: DataFrame, owner: str, repo: str) -> DataFrame:
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), F.col(owner).alias("owner"), F.col(repo).alias("repo"),
-        candidate_spans(text_or_empty()).alias("found"),
+        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"),
+        F.col(owner).alias("owner"), F.col(repo).alias("repo"), candidate_spans(text_or_empty()).alias("found"),
     )
 
 
-def _judged(scanned: DataFrame, most_owners: int) -> DataFrame:
+def _judged(scanned: DataFrame, most_owners: int, most_repos: int) -> DataFrame:
     """One row for each candidate span, with the verdict on its value."""
-    each = scanned.select("row_id", "doc_id", "owner", "repo", F.explode("found").alias("s")).select("row_id", "doc_id", "owner", "repo", "s.*")
+    each = scanned.select("row_id", "doc_id", "text_key", "owner", "repo", F.explode("found").alias("s")).select("row_id", "doc_id", "text_key", "owner", "repo", "s.*")
     known = ownership(each).withColumnRenamed("hash", "of_hash")
     each = each.drop("credential").join(known, F.col("hash") == F.col("of_hash")).drop("of_hash")
-    return each.withColumn("live", F.col("credential") & (F.col("n_owners") <= most_owners))
+    return each.withColumn("live", F.col("credential") & (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos))
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """Secrets of every row of docs(doc_id, text, owner, repo).
 
-    Base spans always count. A value is live if it has at most most_owners
-    owners in the corpus and is of a base kind somewhere, or looks live. A
-    candidate of kind opaque counts where its value is live.
+    Base spans always count. A value is live if the corpus has it with at most
+    most_owners owners and in at most most_repos repositories, and it is of a
+    base kind somewhere, or has the entropy of a generated key and no placeholder's words. A candidate of
+    kind opaque counts where its value is live.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_opaque,
     n_live, n_examples, and live_repos, the most repositories that one of the
@@ -122,7 +133,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners
     Other columns of docs are ignored.
     """
     scanned = written(_scanned(docs, owner, repo), "secret-candidates")
-    judged = _judged(scanned, most_owners).where("kind < 3 or live")
+    judged = _judged(scanned, most_owners, most_repos).where("kind < 3 or live")
     text_of = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["stop"])
     per_row = judged.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop", "live"))).alias("all"), F.max(F.when(F.col("live"), F.col("n_repos"))).alias("live_repos"))
     rows = scanned.select("row_id", "doc_id").join(per_row, "row_id", "left")
@@ -138,17 +149,19 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners: int = MOST_OWNERS, mark: str = MARK) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS, mark: str = MARK) -> DataFrame:
     """docs with every live value in text, as in scan(), replaced by mark; copied examples stay.
 
     A verdict belongs to a value, so repeated rows and equal ids agree. n_chars
     is set to the new length where docs has it. Rows, other columns and null
-    texts are unchanged.
+    texts are unchanged. Texts are scanned once; rows are found again by doc_id
+    and a hash of the text, whatever ids are null or repeated.
     """
     scanned = written(_scanned(docs, owner, repo), "secret-candidates")
-    live = _judged(scanned, most_owners).where("live").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("hash").alias("__live"))
-    rows = docs.join(live, F.col("doc_id").eqNullSafe(F.col("__of")), "left")
-    nothing = F.array().cast("array<bigint>")
+    live = _judged(scanned, most_owners, most_repos).where("live").groupBy(F.col("doc_id").alias("__of"), F.col("text_key").alias("__of_key"))
+    # Written, so that its size is known and a small table is broadcast instead of shuffling all texts.
+    live = written(live.agg(F.sort_array(F.collect_set(F.struct("start", "kind", "stop"))).alias("__live")), "secret-live")
+    rows = docs.withColumn("__key", F.xxhash64(text_or_empty())).join(live, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__of_key")), "left")
 
     def cut(spans: Column) -> Column:
         first = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
@@ -156,12 +169,9 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "lang", most_owne
             F.struct(s["stop"].alias("at"), F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("text"))
         )
         done = F.aggregate(spans, first, step)
-        tail = F.element_at(F.transform(F.array(done), lambda d: F.concat(d["text"], F.substring(F.col("text"), d["at"] + 1, F.length(F.col("text"))))), 1)
-        return F.when(F.size(spans) == 0, F.col("text")).otherwise(tail)
+        return F.element_at(F.transform(F.array(done), lambda d: F.concat(d["text"], F.substring(F.col("text"), d["at"] + 1, F.length(F.col("text"))))), 1)
 
-    spans = F.filter(candidate_spans(text_or_empty()), lambda s: F.array_contains(F.coalesce("__live", nothing), s["hash"]))
-    new_text = F.element_at(F.transform(F.array(spans), cut), 1)
-    rows = rows.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(new_text))
+    rows = rows.withColumn("text", F.when(F.col("__live").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut(F.col("__live"))))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
