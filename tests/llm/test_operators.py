@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -126,6 +127,20 @@ def test_ownership_decides_on_base_kinds(spark):
     assert [scanned[k].live_repos for k in (0, 1, 5, 10, 20)] == [2, 1, 2, 0, 2]
 
 
+def test_ownership_decides_on_spans(spark):
+    """Bare keys that no base pattern finds: one owner's own is a span; copies of many owners or repositories and dull runs are none."""
+    own, copied, vendored, dull = "q7Xw2LmZ9pRt4VbN8kYc", "Zt5Gh1JkQ8wErT6yUi3P", "Ab9Cd8Ef7Gh6Jk5Lm4Np", "Aa11aAaA11aAaAaA1aAa"
+    rows = [(1, f"use {own} here", "r1", "s1"), (2, f"use {own} here", "r2", "s1")]
+    rows += [(10 + k, f"see {copied} in the manual", "r1", f"s{k}") for k in range(4)]
+    rows += [(20 + k, f"see {vendored} too", f"r{k}", "s1") for k in range(9)]
+    rows += [(40, f"see {dull} too", "r1", "s1"), (None, f"my {own[::-1]} key", None, None), (None, f"my {own[::-1]} key", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert got == {r[0]: "opaque:4:24" if r[0] in (1, 2) else "opaque:3:23" if r[0] is None else "" for r in rows}
+    kept = {r.text for r in secrets.redact(docs).collect()}
+    assert kept == {"use [SECRET] here", "my [SECRET] key"} | {r[1] for r in rows if r[0] and r[0] >= 10}
+
+
 def rules_by_hand(text):
     words = WORD.findall(text)
     seen, dup = set(), 0
@@ -266,6 +281,36 @@ def test_overlapping_encoding_is_exact(spark, sf_dir, chunk, overlap):
         assert tokens.encode_overlapping(text, path, chunk, overlap) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_huge_texts_without_spaces_take_linear_time():
+    """Chinese, base64-like text, one endless word and special tokens: exact, and about as fast as one call."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokens.tokenizer(path)
+    rng = np.random.default_rng(11)
+    chinese = "".join(chr(c) if c % 17 else "。" for c in rng.integers(0x4E00, 0x9FFF, 400_000))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    base64 = "".join(letters[i] for i in rng.integers(0, 64, 400_000))
+    for text in (chinese, base64, "x" * 100_000, "ab<|endoftext|>" * 8000, "it's'll''d" * 9000, "a \n\n b\t" * 9000):
+        began = time.perf_counter()
+        want = library.encode(text, add_special_tokens=False).ids
+        once = time.perf_counter() - began
+        began = time.perf_counter()
+        assert tokens.encode_overlapping(text, path) == want
+        assert time.perf_counter() - began < 5 * once + 0.5
+
+
+def test_ids_beside_nulls_keep_their_last_digit(spark):
+    """Above 2**53 a double no longer holds every id."""
+    ids = [2**62 + 1, None, 2**53 + 1, -(2**63) + 1]
+    docs = spark.createDataFrame([(i, f"some text {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    made = [
+        fingerprints.compare_with_next(docs), neardup.near_duplicates(docs), tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")),
+        chunks.encode_table(docs, public_tokenizers.path("word_bpe_49k.json")), classifier.quality_scores(docs, labels),
+    ]
+    for rows in made:
+        assert {r.doc_id for r in rows.select("doc_id").collect()} == set(ids)
+
+
 def test_token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     odd = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
@@ -289,6 +334,27 @@ def test_round_trip(spark, sf_dir):
         assert {(r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in chunks.encode_table(docs, path).collect()} == want
 
 
+def test_chunks_are_encoded_once_and_joins_repaired():
+    """Two documents share a passage; long words and texts without white space make windows wider."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokens.tokenizer(path)
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"word{x}" for x in rng.integers(0, 10_000, 4000))
+    made = chunks.Encoder(path)
+    one, other = "One start. " + passage, "Another and longer start of it. " * 5 + passage
+    want = [library.encode(t, add_special_tokens=False).ids for t in (one, other)]
+    assert made.encode([one])[0].tolist() == want[0]
+    first = made.n_chunks
+    assert made.encode([other])[0].tolist() == want[1]
+    assert first > 15 and made.n_chunks - first <= 0.3 * first
+    assert made.encode([one, other])[0].tolist() == want[0] and made.n_chunks - first <= 0.3 * first
+    before = made.n_widened
+    endless = "".join(chr(97 + x) for x in rng.integers(0, 26, 6000))
+    for text in (endless, f"{passage[:3000]} {endless} {passage[:3000]}", "东京" * 3000, ("e\u0301" * 7 + "\u00a0") * 500, "don't<|endoftext|>" * 400, "ab1'll" * 900):
+        assert made.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert made.n_widened > before
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(5)
     passage = " ".join(f"p{x}" for x in rng.integers(0, 10_000, 2000))
@@ -345,6 +411,32 @@ def test_sharding(spark, sf_dir):
         assert abs(held[1] - total / 5) <= 35_000
 
 
+def test_equal_texts_share_a_shard(spark):
+    """At sf0.1, and with a group of a third of all bytes, which alone fills several shards."""
+    docs = read_table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    long_text = "copied passage " * 400
+    copies = spark.range(2_500).select((F.col("id") + 10**7).alias("doc_id"), F.lit(long_text).alias("text"))
+    for rows, split in ((docs, set()), (docs.union(copies), {long_text})):
+        text = {r.doc_id: r.text or "" for r in rows.collect()}
+        made = sharding.shard_by_bytes(rows).collect()
+        assert sorted(r.doc_id for r in made) == sorted(text)
+        shards, held, slots = {}, {}, {}
+        for r in made:
+            shards.setdefault(text[r.doc_id], set()).add(r.shard)
+            held[r.shard] = held.get(r.shard, 0) + r["size"]
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert {t for t, s in shards.items() if len(s) > 1} == split
+        mean = sum(held.values()) / 40
+        assert len(held) == 40 and all(abs(h - mean) <= 0.02 * mean for h in held.values())
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_large_groups_are_packed():
+    pieces, held = sharding.packed([("a", 100, 10), ("b", 7, 30), ("c", 1, 500)], 2000, 5)
+    assert sorted(p for p in pieces if p[0] == "a") == [("a", 0, 40, 0), ("a", 40, 80, 1), ("a", 80, 100, 4)]
+    assert sum(held) == 1710 and max(held) == 500
+
+
 def test_classifier(spark):
     sf = "/root/testdata/sf0.1"
     labels = read_table(spark, sf, "labels")
