@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,15 +83,46 @@ def triangle_transform(u: Column, v: Column) -> Column:
     )
 
 
-def spectra(triangles: DataFrame, grid: DataFrame, key: str = "gid") -> DataFrame:
-    """The transform of each polygon, the sum over its triangles: key, u_idx, v_idx, re, im. Padding is 0.
-
-    The grid is small by construction and goes to every task; sums are partial
-    before they are shuffled.
+def _triangle_transforms(t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """triangle_transform of triangles t[n, 6] at points (u, v), summed over the triangles."""
+    ax, ay, bx, by, cx, cy = (t[:, i, None] for i in range(6))
+    twice = np.abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
+    a, b = u * (bx - ax) + v * (by - ay), u * (cx - bx) + v * (cy - by)
+    none_a, none_b, none_c = np.abs(a) <= EPSILON, np.abs(b) <= EPSILON, np.abs(a + b) <= EPSILON
+    ea, eb, eab = (np.exp(-2j * np.pi * x) for x in (a, b, a + b))
+    one, k = 2j * np.pi, (2 * np.pi) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        general = (-a * eab + (a + b) * ea - b) / (k * a * b * (a + b))
+        along_c = -(ea - 1 + one * a) / (k * a * a)
+        along_a = -(eb - 1 + one * b) / (k * b * b)
+        along_b = (ea + one * a * ea - 1) / (k * a * a)
+    value = np.select([none_a & none_b, none_c, none_a, none_b], [0.5 + 0j, along_c, along_a, along_b], general)
+    value = np.where(none_a & none_b, value, value * np.exp(-2j * np.pi * (u * ax + v * ay)))
+    return (twice * value).sum(axis=0)
+
+
+def spectra(triangles: DataFrame, grid: DataFrame, key: str = "gid", most_cells: int = 2_000_000) -> DataFrame:
+    """The transform of each polygon, the sum over its triangles: key, u_idx, v_idx, re, im. Padding is left out.
+
+    Each polygon's triangles meet in one row, and a task works through its rows
+    in array operations of at most most_cells triangles times frequencies.
+    The grid, small by construction, is the only thing that goes to every task.
     """
-    valid = grid.where("valid").select("u_idx", "v_idx", "u", "v")
-    each = triangles.select(key, "ax", "ay", "bx", "by", "cx", "cy").join(F.broadcast(valid))
-    return each.withColumn("t", triangle_transform(F.col("u"), F.col("v"))).groupBy(key, "u_idx", "v_idx").agg(F.sum("t.re").alias("re"), F.sum("t.im").alias("im"))
+    cells = grid.where("valid").select("u_idx", "v_idx", "u", "v").orderBy("u_idx", "v_idx").toPandas()
+    u, v = cells["u"].to_numpy(float), cells["v"].to_numpy(float)
+    step = max(1, most_cells // max(1, len(cells)))
+
+    def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, flat in zip(pdf["k"], pdf["t"], strict=True):
+                t = np.asarray(flat, float).reshape(-1, 6)
+                s = sum((_triangle_transforms(t[i : i + step], u, v) for i in range(0, len(t), step)), np.zeros(len(u), complex))
+                yield pd.DataFrame({"k": name, "u_idx": cells["u_idx"], "v_idx": cells["v_idx"], "re": s.real, "im": s.imag})
+
+    corners = F.array(*[F.col(c).cast("double") for c in ("ax", "ay", "bx", "by", "cx", "cy")])
+    polygons = triangles.where(corners[0].isNotNull()).groupBy(F.col(key).alias("k")).agg(F.flatten(F.collect_list(corners)).alias("t"))
+    kind = polygons.schema["k"].dataType.simpleString()
+    return polygons.mapInPandas(transform, f"k {kind}, u_idx int, v_idx int, re double, im double").withColumnRenamed("k", key)
 
 
 def channels(spectrum: DataFrame) -> DataFrame:
@@ -107,15 +141,32 @@ def pixels(spark: SparkSession, size: int) -> DataFrame:
 
 
 def rasters(spectrum: DataFrame, grid: DataFrame, size: int, key: str = "gid") -> DataFrame:
-    """Each polygon's transform back as an image of values from 0 to 1: key, py, px, value."""
-    spark = spectrum.sparkSession
-    weighed = spectrum.join(F.broadcast(grid.where("valid").select("u_idx", "v_idx", "u", "v", "du", "dv")), ["u_idx", "v_idx"])
-    weight = F.col("du") * F.col("dv") * F.when(F.col("v") > 1e-6, 2.0).otherwise(1.0)
-    angle = 2 * math.pi * (F.col("u") * F.col("x") + F.col("v") * F.col("y"))
-    each = weighed.withColumn("w", weight).join(F.broadcast(pixels(spark, size)))
-    summed = each.groupBy(key, "py", "px").agg(F.sum(F.col("w") * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))).alias("f"))
-    image = Window.partitionBy(key)
-    return summed.select(key, "py", "px", ((F.col("f") - F.min("f").over(image)) / (F.max("f").over(image) - F.min("f").over(image) + 1e-8)).alias("value"))
+    """Each polygon's transform back as an image of values from 0 to 1: key, py, px, value.
+
+    The way back is separable: two matrix products for each polygon, whose
+    spectrum meets in one row. The grid goes to every task.
+    """
+    axes = grid.where("valid").select("u_idx", "v_idx", "u", "v", "du", "dv").toPandas()
+    us, vs = axes.drop_duplicates("u_idx").sort_values("u_idx"), axes.drop_duplicates("v_idx").sort_values("v_idx")
+    row_of, column_of = (dict(zip(x[c], range(len(x)), strict=True)) for x, c in ((us, "u_idx"), (vs, "v_idx")))
+    at = -1 + 2 * np.arange(size) / max(1, size - 1)
+    along_x = np.exp(2j * np.pi * np.outer(us["u"], at)) * us["du"].to_numpy()[:, None]
+    along_y = np.exp(2j * np.pi * np.outer(vs["v"], -at)) * (vs["dv"] * np.where(vs["v"] > 1e-6, 2.0, 1.0)).to_numpy()[:, None]
+    py, px = np.divmod(np.arange(size * size, dtype=np.int32), size)
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, i, j, re, im in zip(pdf["k"], pdf["i"], pdf["j"], pdf["re"], pdf["im"], strict=True):
+                s = np.zeros((len(us), len(vs)), complex)
+                s[[row_of[x] for x in i], [column_of[x] for x in j]] = np.asarray(re, float) + 1j * np.asarray(im, float)
+                f = (along_y.T @ s.T @ along_x).real
+                yield pd.DataFrame({"k": name, "py": py, "px": px, "value": ((f - f.min()) / (f.max() - f.min() + 1e-8)).ravel()})
+
+    cells = spectrum.join(F.broadcast(grid.where("valid").select("u_idx", "v_idx")), ["u_idx", "v_idx"], "left_semi")
+    met = cells.groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct("u_idx", "v_idx", "re", "im")).alias("c"))
+    met = met.select("k", F.col("c.u_idx").alias("i"), F.col("c.v_idx").alias("j"), F.col("c.re").alias("re"), F.col("c.im").alias("im"))
+    kind = met.schema["k"].dataType.simpleString()
+    return met.mapInPandas(back, f"k {kind}, py int, px int, value double").withColumnRenamed("k", key)
 
 
 def span_weights(grid: DataFrame) -> DataFrame:

@@ -12,7 +12,10 @@ LOCAL_DIR = "/tmp/checkpoints/geoloom"
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared checkpoint folder, read back; lost executors cost running tasks only."""
-    folder = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not named and not df.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = (named or LOCAL_DIR).rstrip("/")
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -81,10 +81,15 @@ def manifest_totals(shards: DataFrame) -> DataFrame:
     return shards.agg(F.count("*").alias("shards"), F.sum("samples").alias("samples"), F.sum("bytes").alias("bytes"), F.avg("samples").alias("mean_samples"))
 
 
-def located(wanted: DataFrame, shards: DataFrame, index: str = "index") -> DataFrame:
-    """wanted(index) with the shard that holds it and its place there; the manifest has one row a shard."""
+def located(wanted: DataFrame, shards: DataFrame, index: str = "index", block: int = 100_000) -> DataFrame:
+    """wanted(index) with the shard that holds it and its place there; the manifest has one row a shard.
+
+    An equi-join on blocks of indices, so the manifest may grow with the data.
+    """
+    first, last = F.floor(F.col("start_index") / block), F.floor((F.col("start_index") + F.col("samples") - 1) / block)
+    blocks = shards.where("samples > 0").withColumn("of_block", F.explode(F.sequence(first, last)))
     inside = (F.col(index) >= F.col("start_index")) & (F.col(index) < F.col("start_index") + F.col("samples"))
-    return wanted.join(F.broadcast(shards), inside).select(index, "shard", (F.col(index) - F.col("start_index")).alias("local"))
+    return wanted.join(blocks, (F.floor(F.col(index) / block) == F.col("of_block")) & inside).select(index, "shard", (F.col(index) - F.col("start_index")).alias("local"))
 
 
 def write_sharded(rows: DataFrame, folder: str, splits: list[str], records: int) -> None:

@@ -26,11 +26,16 @@ _COMPARE = {
 
 @dataclass(frozen=True)
 class Layer:
-    """A named table. gid, if given, is the column of row ids; text and number columns are told by their types."""
+    """A named table. gid, if given, is the column of row ids; text and number columns are told by their types.
+
+    trimmed says that texts are stored without white space around them, so that
+    tests on them reach the files.
+    """
 
     name: str
     rows: DataFrame
     gid: str | None = None
+    trimmed: bool = False
 
     def _attributes(self) -> list[T.StructField]:
         return [f for f in self.rows.schema.fields if f.name.lower() not in NOT_ATTRIBUTES and f.name != self.gid]
@@ -80,16 +85,30 @@ class Store:
     def _text_test(self, layer: Layer, name: str, values: list[str], any_cell: bool) -> Column:
         if any_cell:
             return reduce(lambda a, b: a | b, [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin(values) for c in layer.texts.values()])
-        return F.coalesce(F.trim(F.col(layer.texts[name.lower()]).cast("string")), F.lit("")).isin(values)
+        column = layer.texts[name.lower()]
+        if layer.trimmed and "" not in values and isinstance(layer.rows.schema[column].dataType, T.StringType):
+            return F.col(column).isin(values)
+        return F.coalesce(F.trim(F.col(column).cast("string")), F.lit("")).isin(values)
 
     def _number_test(self, layer: Layer, request: Request) -> Column:
-        tests = [_COMPARE[op](F.coalesce(F.nanvl(F.col(layer.numbers[f.lower()]).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(float(v))) for f, op, v in request.numbers]
+        """Null and NaN count as 0. Where 0 does not pass, they need no place in the test, and it stays one that files can be pruned by."""
+        tests = []
+        for f, op, v in request.numbers:
+            column = F.col(layer.numbers[f.lower()])
+            kind, value = layer.rows.schema[layer.numbers[f.lower()]].dataType, F.lit(float(v))
+            if isinstance(kind, T.BooleanType) or _COMPARE[op](0.0, float(v)):
+                tests.append(_COMPARE[op](F.coalesce(F.nanvl(column.cast("double"), F.lit(0.0)), F.lit(0.0)), value))
+                continue
+            tests.append(_COMPARE[op](column, value))
+            if isinstance(kind, (T.DoubleType, T.FloatType)):
+                tests.append(~F.isnan(column))
         return reduce(lambda a, b: a & b, tests, F.lit(True))
 
     def query(self, request: Request, any_cell: bool = False) -> DataFrame:
         """Rows of all layers that match: layer, gid and the requested fields, in lower case.
 
-        Each layer is its own filtered scan, so predicates reach the files.
+        Each layer is its own filtered scan. Number tests that 0 does not pass,
+        and text tests on trimmed layers, reach the files.
         any_cell lets a text value stand in any text column of the row.
         """
         fields = [*request.texts, *(f for f, _, _ in request.numbers)]

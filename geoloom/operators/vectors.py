@@ -159,6 +159,8 @@ def restart_dead(codebook: DataFrame, pool: DataFrame, least: float) -> DataFram
     """codebook(code, size, vec) with codes of size < least replaced by pool(pool_no, vec), reused in turn if it is small."""
     dead = codebook.where(F.col("size") < least)
     ranked = dead.withColumn("at", F.row_number().over(Window.orderBy("code")) - 1)
+    # No more of the pool is ordered than there are dead codes.
+    pool = pool.orderBy("pool_no").limit(dead.count())
     n = max(1, pool.count())
     numbered = pool.select((F.row_number().over(Window.orderBy("pool_no")) - 1).alias("p"), F.col("vec").alias("fresh"))
     fresh = ranked.join(numbered, F.pmod("at", F.lit(n)) == F.col("p")).select(F.col("code").alias("c"), "fresh")

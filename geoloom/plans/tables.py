@@ -18,12 +18,12 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     t = lambda n: table(spark, sf_dir, n)
     return Store(
         [
-            Layer("lineitem", t("lineitem").selectExpr("l_orderkey AS gid", "l_linestatus AS status", "l_returnflag AS flag", "l_extendedprice AS amount"), "gid"),
-            Layer("orders", t("orders").selectExpr("o_orderkey AS gid", "o_orderstatus AS status", "o_orderpriority AS priority", "o_totalprice AS amount"), "gid"),
-            Layer("customer", t("customer").selectExpr("c_custkey AS gid", "c_mktsegment AS segment", "c_acctbal AS amount"), "gid"),
-            Layer("supplier", t("supplier").selectExpr("s_suppkey AS gid", "s_acctbal AS amount"), "gid"),
-            Layer("part", t("part").selectExpr("p_partkey AS gid", "p_brand AS brand", "p_type AS type", "p_retailprice AS price"), "gid"),
-            Layer("events", t("events").selectExpr("event_id AS gid", "event_type AS type", "value AS amount"), "gid"),
+            Layer("lineitem", t("lineitem").selectExpr("l_orderkey AS gid", "l_linestatus AS status", "l_returnflag AS flag", "l_extendedprice AS amount"), "gid", trimmed=True),
+            Layer("orders", t("orders").selectExpr("o_orderkey AS gid", "o_orderstatus AS status", "o_orderpriority AS priority", "o_totalprice AS amount"), "gid", trimmed=True),
+            Layer("customer", t("customer").selectExpr("c_custkey AS gid", "c_mktsegment AS segment", "c_acctbal AS amount"), "gid", trimmed=True),
+            Layer("supplier", t("supplier").selectExpr("s_suppkey AS gid", "s_acctbal AS amount"), "gid", trimmed=True),
+            Layer("part", t("part").selectExpr("p_partkey AS gid", "p_brand AS brand", "p_type AS type", "p_retailprice AS price"), "gid", trimmed=True),
+            Layer("events", t("events").selectExpr("event_id AS gid", "event_type AS type", "value AS amount"), "gid", trimmed=True),
         ]
     )
 

@@ -40,7 +40,20 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
 
 
 def read_dbf(spark: SparkSession, path: str, encoding: str = "utf-8", fallback: str = "gb18030") -> DataFrame:
-    """dBASE attribute tables: path, row, cells (a map of trimmed texts). Texts that are not in `encoding` are read in `fallback`."""
+    """dBASE attribute tables: path, row, cells (a map of trimmed texts).
+
+    A table whose field names and text cells are not all in `encoding` is read
+    in `fallback`. The rest of the file, such as the lengths in its header, has
+    no say in that.
+    """
+
+    def is_in(code: str, texts: Iterator[bytes]) -> bool:
+        try:
+            for t in texts:
+                t.decode(code)
+        except UnicodeDecodeError:
+            return False
+        return True
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -48,16 +61,13 @@ def read_dbf(spark: SparkSession, path: str, encoding: str = "utf-8", fallback:
                 count, head, width = (int.from_bytes(content[a:b], "little") for a, b in ((4, 8), (8, 10), (10, 12)))
                 fields, at, start = [], 32, 1
                 while content[at] != 0x0D:
-                    fields.append((content[at : at + 11].split(b"\0")[0], start, content[at + 16]))
+                    fields.append((content[at : at + 11].split(b"\0")[0], start, content[at + 16], content[at + 11 : at + 12]))
                     start, at = start + content[at + 16], at + 32
-                try:
-                    bytes(content).decode(encoding)
-                    used = encoding
-                except UnicodeDecodeError:
-                    used = fallback
                 rows = [content[head + i * width : head + (i + 1) * width] for i in range(count)]
                 live = [(i, r) for i, r in enumerate(rows) if r[:1] != b"*"]
-                cells = [{n.decode(used, "replace"): r[s : s + w].decode(used, "replace").strip() for n, s, w in fields} for _, r in live]
+                texts = (r[s : s + w] for _, r in live for _, s, w, kind in fields if kind == b"C")
+                used = encoding if is_in(encoding, (f[0] for f in fields)) and is_in(encoding, texts) else fallback
+                cells = [{n.decode(used, "replace"): r[s : s + w].decode(used, "replace").strip() for n, s, w, _ in fields} for _, r in live]
                 for k in range(0, len(live), 10_000):
                     yield pd.DataFrame({"path": name, "row": [i for i, _ in live[k : k + 10_000]], "cells": cells[k : k + 10_000]})
 

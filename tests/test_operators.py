@@ -245,6 +245,43 @@ def test_dbf_in_either_encoding(spark, tmp_path):
         assert [(r.row, r.cells) for r in got] == [(0, {"NAME": "林地", "N": "12"}), (2, {"NAME": "x", "N": ""})]
 
 
+@pytest.mark.parametrize("n_fields", [3, 4, 5, 6, 7])
+def test_dbf_header_lengths_do_not_choose_the_encoding(spark, tmp_path, n_fields):
+    """A header of 3 to 6 fields has a length byte that is never valid UTF-8."""
+    for code in ("utf-8", "gb18030"):
+        names = [f"F{i}".encode() for i in range(n_fields)]
+        head = bytes([3, 24, 1, 1]) + struct.pack("<IHH", 1, 32 + 32 * n_fields + 1, 1 + 12 * n_fields) + bytes(20)
+        head += b"".join(n.ljust(11, b"\0") + b"C" + bytes(4) + bytes([12]) + bytes(15) for n in names) + b"\r"
+        text = "café" if code == "utf-8" else "杭州"
+        path = tmp_path / f"{code}.dbf"
+        path.write_bytes(head + b" " + text.encode(code).ljust(12) * n_fields + b"\x1a")
+        assert files.read_dbf(spark, str(path)).first().cells == {n.decode(): text for n in names}
+
+
+def test_predicates_reach_the_files(spark, sf_dir):
+    for part in (attributes.compound_query(spark, sf_dir),):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        pushed = [line for line in plan.split("\n") if "PushedFilters" in line]
+        assert len(pushed) == 2
+        assert "GreaterThanOrEqual(l_extendedprice,50000.0)" in plan and "In(l_linestatus, [F,O])" in plan
+        assert "GreaterThanOrEqual(o_totalprice,50000.0)" in plan and "In(o_orderstatus, [F,O])" in plan
+
+
+def test_numbers_that_zero_does_not_pass(spark):
+    rows = spark.createDataFrame([(1, 5.0, 7), (2, None, None), (3, float("nan"), 2), (4, -5.0, -7)], "gid long, a double, n int")
+    one = Store([Layer("one", rows, "gid")])
+    got = lambda *tests: {r.gid for r in one.query(Request({}, list(tests))).collect()}
+    assert got(("a", ">=", 1.0)) == {1} and got(("a", ">", -1.0)) == {1, 2, 3} and got(("a", "<", 0.0)) == {4}
+    assert got(("n", ">", 1.5)) == {1, 3} and got(("n", "<=", 0.0)) == {2, 4} and got(("a", "==", 0.0), ("n", "==", 2.0)) == {3}
+
+
+def test_indices_are_located_across_blocks(spark):
+    wanted = spark.createDataFrame([(0,), (9,), (10,), (34,), (35,)], "index long")
+    manifest = spark.createDataFrame([("a", 0, 10), ("none", 10, 0), ("b", 10, 25)], "shard string, start_index long, samples long")
+    got = sorted(tuple(r) for r in shards.located(wanted, manifest, block=4).collect())
+    assert got == [(0, "a", 0), (9, "a", 9), (10, "b", 0), (34, "b", 24)]
+
+
 def test_geojson_polygons(spark, tmp_path):
     square = "[[[0,0],[1,0],[1,1],[0,0]]]"
     feature = lambda g, t, c: f'{{"type":"Feature","properties":{{"GID":{g},"n":"x"}},"geometry":{{"type":"{t}","coordinates":{c}}}}}'
