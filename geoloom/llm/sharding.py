@@ -178,11 +178,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int =
     shard_of = F.size(F.filter(edges, lambda e: e <= F.col("middle"))) if ends else F.lit(0)
     placed = placed.select("of_key", shard_of.cast("int").alias("shard"))
 
-    spark = docs.sparkSession
-    known = spark.createDataFrame(pieces, "of_key string, first long, end long, shard int")
+    said = F.split(F.explode(F.split(F.lit(";".join(":".join(map(str, p)) for p in pieces)), ";")), ":")
+    known = docs.sparkSession.range(1).select(said.alias("p")).where(F.size("p") == 4)
+    known = known.select(
+        F.get("p", F.lit(0)).alias("of_key"), F.get("p", F.lit(1)).cast("long").alias("first"), F.get("p", F.lit(2)).cast("long").alias("end"), F.get("p", F.lit(3)).cast("int").alias("shard")
+    )
     n_pieces = Counter(p[0] for p in pieces)
     cut = sorted(k for k, n in n_pieces.items() if n > 1)
-    names = F.broadcast(spark.createDataFrame([(k,) for k in n_pieces], "large_key string"))
+    names = F.broadcast(known.select(F.col("of_key").alias("large_key")).distinct())
     marked = base.join(names, F.col("text_key") == F.col("large_key"), "left")
     many = marked.where("large_key is null").drop("large_key").join(placed, F.col("text_key") == F.col("of_key"))
     whole = base.join(F.broadcast(known.where(~F.col("of_key").isin(cut))), F.col("text_key") == F.col("of_key"))
