@@ -178,8 +178,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, ranges_per_shard: int =
     shard_of = F.size(F.filter(edges, lambda e: e <= F.col("middle"))) if ends else F.lit(0)
     placed = placed.select("of_key", shard_of.cast("int").alias("shard"))
 
-    said = F.split(F.explode(F.split(F.lit(";".join(":".join(map(str, p)) for p in pieces)), ";")), ":")
-    known = docs.sparkSession.range(1).select(said.alias("p")).where(F.size("p") == 4)
+    said = F.split(F.lit(";".join(":".join(map(str, p)) for p in pieces)), ";")
+    known = docs.sparkSession.range(1).select(F.explode(said).alias("piece")).select(F.split("piece", ":").alias("p")).where(F.size("p") == 4)
     known = known.select(
         F.get("p", F.lit(0)).alias("of_key"), F.get("p", F.lit(1)).cast("long").alias("first"), F.get("p", F.lit(2)).cast("long").alias("end"), F.get("p", F.lit(3)).cast("int").alias("shard")
     )
