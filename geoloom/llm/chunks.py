@@ -38,7 +38,7 @@ MOST_REMEMBERED = 8_000_000
 #: A worker forgets its words when it has met so many different ones.
 MOST_WORDS = 500_000
 #: Characters of the first window on each side of a join.
-WINDOW = 64
+WINDOW = 24
 #: Characters that the library encodes at once, about; its results take many times their memory.
 AT_ONCE = 1_000_000
 
