@@ -18,7 +18,6 @@ holds white space and no normalising step reaches across it.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +34,10 @@ CUT_BITS = 10
 LEAST_CHUNK, MOST_CHUNK = 256, 8192
 #: A worker forgets its chunks when they have so many characters together.
 MOST_REMEMBERED = 8_000_000
-#: A worker forgets its words when it has met so many different ones.
+#: A worker forgets its words once it has met so many different ones.
 MOST_WORDS = 500_000
+#: New words are encoded in lines of so many characters, about.
+LINE = 4096
 #: Characters of the first window on each side of a join.
 WINDOW = 24
 #: Characters that the library encodes at once, about; its results take many times their memory.
@@ -176,31 +177,72 @@ class Document:
         return np.concatenate([*parts, self.tokens.between(at, len(self.text)).ids])
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def taken(self) -> list[str]:
+        """The words numbered since this was last asked."""
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
 class Encoder:
     """Encodes and decodes with one tokenizer file; remembers chunks up to a fixed number of characters."""
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.chunks: dict[str, Tokens] = {}
-        self.words: dict[str, bytes] = {}
         self.remembered = self.n_chunks = self.n_windows = self.n_widened = 0
+        self._forget_words()
+
+    def _forget_words(self) -> None:
+        self.words = Numbers()
+        self.word_ids, self.word_stops = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new chunks and remembers them."""
-        cut = {p: words_of(p) for p in pieces}
-        words = {w for found, _ in cut.values() for w in found}
-        if len(self.words) + len(words) > MOST_WORDS:
-            self.words.clear()
-        new = list(words - self.words.keys())
-        for first, stop in _runs([len(w) for w in new]):
-            made = self.library.encode_batch_fast(new[first:stop], add_special_tokens=False)
-            self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(new[first:stop], made, strict=True))
-        for p, (found, places) in cut.items():
-            known = [self.words[w] for w in found]
-            self.chunks[p] = Tokens(np.frombuffer(b"".join(known), np.uint32), np.repeat(places, np.array(list(map(len, known)), np.int64) // 4))
+        if len(self.words) > MOST_WORDS:
+            self._forget_words()
+        numbers: list[int] = []
+        starts, counts = [np.zeros(0, np.int64)], [0]
+        for p in pieces:
+            found, at = words_of(p)
+            numbers += map(self.words.__getitem__, found)
+            starts.append(at)
+            counts.append(len(found))
+        self._learn_words(self.words.taken())
+
+        known, stops = self.word_ids[0], self.word_stops[0]
+        row = np.array(numbers, np.int64)
+        low, n = stops[row], stops[row + 1] - stops[row]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = known[np.repeat(low - before[:-1], n) + np.arange(before[-1])]
+        places = np.repeat(np.concatenate(starts), n)
+        bounds = before[np.cumsum(counts)].tolist()
+        for p, a, b in zip(pieces, bounds, bounds[1:], strict=False):
+            self.chunks[p] = Tokens(ids[a:b], places[a:b])
         self.remembered += sum(map(len, pieces))
         self.n_chunks += len(pieces)
 
+    def _learn_words(self, new: list[str]) -> None:
+        """Encodes words not met before, many in one text, and notes the ids of each behind those of the words before."""
+        for first, stop in _runs([len(w) + 1 for w in new], LINE):
+            line = new[first:stop]
+            ends = np.cumsum([len(w) + 1 for w in line])
+            made = self._windows([" ".join(line)]).popitem()[1]
+            self.word_ids.append(made.ids)
+            self.word_stops.append(self.word_stops[-1][-1] + np.searchsorted(made.places, ends))
+        self.word_ids, self.word_stops = [np.concatenate(self.word_ids)], [np.concatenate(self.word_stops)]
+
     def _windows(self, pieces: list[str]) -> dict[str, Tokens]:
         """Encodes windows as they stand."""
         found: dict[str, Tokens] = {}
