@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.operators.packing import packed  # noqa: F401
 from geoloom.operators.vectors import hash_order
 
 #: Estimated bytes of a sample besides its payload.
@@ -47,30 +46,6 @@ def batches(indexed: DataFrame, size: int, drop_last: bool = False, index: str =
     return made.where(F.col("batch") < indexed.count() // size) if drop_last else made
 
 
-def packed(rows: DataFrame, group: str, order: str, size: str, cap: int) -> DataFrame:
-    """rows(group, order, size) with a shard: a new one begins when the next size would take it over cap.
-
-    Each place depends on the one before, so a group is walked in order. Only
-    group, order and size go through Python; a task holds one running sum.
-    """
-
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, shard, held = object(), 0, 0
-        for pdf in parts:
-            places = []
-            for g, n in zip(pdf["group"], pdf["size"], strict=True):
-                if g != now:
-                    now, shard, held = g, 0, 0
-                elif held and held + n > cap:
-                    shard, held = shard + 1, 0
-                held += int(n)
-                places.append(shard)
-            yield pdf.assign(shard=places)
-
-    slim = rows.select(F.col(group).cast("string").alias("group"), F.col(order).cast("long").alias("at"), F.col(size).cast("long").alias("size"))
-    return slim.repartition("group").sortWithinPartitions("group", "at").mapInPandas(walk, "group string, at long, size long, shard int")
-
-
 def manifest(rows: DataFrame, shard: str, size: str) -> DataFrame:
     """Of each shard: samples, bytes, and the number of its first sample; one window over one row a shard."""
     each = rows.groupBy(F.col(shard).alias("shard")).agg(F.count("*").alias("samples"), F.sum(size).cast("bigint").alias("bytes"))

@@ -40,6 +40,12 @@ def packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.packed(_sized(spark, sf_dir), "grp", "at", "bytes", 20_000)
 
 
+def packed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one group, packed in the order of their keys into shards of at most 1000000 bytes."""
+    sized = table(spark, sf_dir, "orders").select(F.lit("all").alias("grp"), F.col("o_orderkey").alias("at"), F.floor("o_totalprice").cast("long").alias("bytes"))
+    return shards.packed(sized, "grp", "at", "bytes", 1_000_000, segment=20_000).select("at", "size", "shard")
+
+
 def shard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 37).alias("s"), F.lit(640).alias("b"))
     return shards.manifest(made, "s", "b")
@@ -110,7 +116,7 @@ def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        modulo_split, hash_split, sample_ranks, row_batches, packed_shards, shard_manifest, manifest_totals, sample_places, pairing_faults, weighted_means, rank_means, best_values, metric_alerts,
+        modulo_split, hash_split, sample_ranks, row_batches, packed_shards, packed_orders, shard_manifest, manifest_totals, sample_places, pairing_faults, weighted_means, rank_means, best_values, metric_alerts,
         collapse_guard, series_medians, schedules, sample_places_hundredths,
     )
 }
@@ -128,6 +134,11 @@ ORACLE_SQL = {
         ), walk AS (SELECT grp, place, size, i, 0 AS shard, size AS held FROM sized WHERE i = 1
         UNION ALL SELECT s.grp, s.place, s.size, s.i, w.shard + CASE WHEN w.held + s.size > 20000 THEN 1 ELSE 0 END, CASE WHEN w.held + s.size > 20000 THEN s.size ELSE w.held + s.size END FROM walk w JOIN sized s ON s.grp = w.grp AND s.i = w.i + 1)
         SELECT grp AS "group", place AS "at", size, shard FROM walk""",
+    "packed_orders": """WITH RECURSIVE sized AS (
+        SELECT o_orderkey AS place, CAST(floor(o_totalprice) AS BIGINT) AS size, row_number() OVER w AS i, sum(CAST(floor(o_totalprice) AS BIGINT)) OVER w AS upto FROM orders WINDOW w AS (ORDER BY o_orderkey)
+        ), walk AS (SELECT CAST(1 AS BIGINT) AS i, 0 AS shard UNION ALL SELECT max(n.i), max(w.shard) + 1 FROM walk w JOIN sized f ON f.i = w.i
+        JOIN LATERAL (SELECT min(s.i) AS i FROM sized s WHERE s.i > w.i AND s.upto > f.upto - f.size + 1000000) n ON true HAVING max(n.i) IS NOT NULL)
+        SELECT place AS "at", size, CAST(shard AS INTEGER) AS shard FROM sized s ASOF JOIN walk w ON s.i >= w.i""",
     "shard_manifest": f"WITH {_MANIFEST} SELECT * FROM manifest",
     "manifest_totals": f"WITH {_MANIFEST} SELECT count(*) AS shards, CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(bytes) AS BIGINT) AS bytes, avg(samples) AS mean_samples FROM manifest",
     "sample_places": f"WITH {_MANIFEST} SELECT i * 7 AS \"index\", shard, i * 7 - start_index AS \"local\" FROM range(200) r(i) JOIN manifest ON i * 7 >= start_index AND i * 7 < start_index + samples",
