@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from geoloom.functions.columns import squared_distance
 from geoloom.operators.lineage import written
+from geoloom.operators.pivots import knn_join
 
-#: Query vectors that one broadcast block holds; more queries run block by block.
+#: Query vectors that go to every task at most; more are joined.
 QUERY_BLOCK = 4096
 #: Codes that are held in one array in every task.
 MOST_CODES = 65_536
@@ -35,40 +36,32 @@ def _square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def knn(queries: DataFrame, library: DataFrame, k: int, query_id: str = "qid", library_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest library vectors of each query: query_id, rank from 1, neighbour, d2; ties by the smaller id.
 
-    Queries are numbered and taken in blocks of QUERY_BLOCK. For each block
-    every task keeps the k best of its part of the library; those meet in one
-    window for each query, k rows for each task.
+    Up to QUERY_BLOCK queries go to every task, which keeps the k best of its
+    part of the library; those meet in one window for each query, k rows for
+    each task. More queries are joined by pivots instead (`knn_join`).
     """
-    spark = queries.sparkSession
     numbered = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
-    n_blocks = -(-numbered.count() // QUERY_BLOCK)
-    parts = []
-    for block in range(n_blocks):
-        mine = numbered.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block).toPandas()
-        if not len(mine):
-            continue
-        wanted = spark.sparkContext.broadcast((mine["q"].to_numpy(np.int64), _matrix(mine["v"])))
-
-        def best(batches: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
-            ids, points = wanted.value
-            held_d, held_n = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-            for pdf in batches:
-                pdf = pdf[pdf["v"].notna()]
-                if not len(pdf):
-                    continue
-                d = np.concatenate([held_d, _square_distances(_matrix(pdf["v"]), points).T], axis=1)
-                n = np.concatenate([held_n, np.broadcast_to(pdf["n"].to_numpy(np.int64), (len(ids), len(pdf)))], axis=1)
-                order = np.lexsort((n, d), axis=1)[:, :k]
-                held_d, held_n = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
-            if held_d.shape[1]:
-                yield pd.DataFrame({"q": np.repeat(ids, held_d.shape[1]), "neighbour": held_n.ravel(), "d2": held_d.ravel()})
-
-        parts.append(library.select(F.col(library_id).cast("long").alias("n"), F.col(vector).alias("v")).mapInPandas(best, "q long, neighbour long, d2 double"))
-    if not parts:
-        return spark.createDataFrame([], f"{query_id} long, rank int, neighbour long, d2 double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    mine = numbered.limit(QUERY_BLOCK + 1).toPandas()
+    if len(mine) > QUERY_BLOCK:
+        return knn_join(queries, library, k, query_id, library_id, vector)[0]
+    if not len(mine):
+        return queries.sparkSession.createDataFrame([], f"{query_id} long, rank int, neighbour long, d2 double")
+    ids, points = mine["q"].to_numpy(np.int64), _matrix(mine["v"])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_d, held_n = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        for pdf in batches:
+            pdf = pdf[pdf["v"].notna()]
+            if not len(pdf):
+                continue
+            d = np.concatenate([held_d, _square_distances(_matrix(pdf["v"]), points).T], axis=1)
+            n = np.concatenate([held_n, np.broadcast_to(pdf["n"].to_numpy(np.int64), (len(ids), len(pdf)))], axis=1)
+            order = np.lexsort((n, d), axis=1)[:, :k]
+            held_d, held_n = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+        if held_d.shape[1]:
+            yield pd.DataFrame({"q": np.repeat(ids, held_d.shape[1]), "neighbour": held_n.ravel(), "d2": held_d.ravel()})
+
+    found = library.select(F.col(library_id).cast("long").alias("n"), F.col(vector).alias("v")).mapInPandas(best, "q long, neighbour long, d2 double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", "neighbour", "d2")
 

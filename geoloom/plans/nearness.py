@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions.columns import position_code
-from geoloom.operators import spatial, store, vectors
-from geoloom.plans.tables import BOXES_SQL, codebook, library_boxes, table
+from geoloom.operators import pivots, quadtree, spatial, store, vectors
+from geoloom.plans.tables import BOXES_SQL, SKEWED_SQL, codebook, library_boxes, skewed_boxes, table
 
 K_CODES = 64
 
@@ -35,6 +35,27 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), v, 10).withColumn("d2", F.round("d2", 6))
 
 
+def _every_hundredth(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col(key) % 100 == 0).withColumnRenamed(key, "qid")
+
+
+def skewed_box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of every hundredth box with all boxes, of very unequal sizes and density."""
+    boxes = skewed_boxes(spark, sf_dir)
+    return quadtree.box_pairs(_every_hundredth(boxes, "lid"), boxes)
+
+
+def skewed_box_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = skewed_boxes(spark, sf_dir)
+    return quadtree.box_counts(_every_hundredth(boxes, "lid"), boxes)
+
+
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As knn, by pivots, with queries that are joined and not gathered."""
+    v = _vectors(spark, sf_dir)
+    return pivots.knn_join(_every_hundredth(v, "vec_id"), v, 10)[0].withColumn("d2", F.round("d2", 6))
+
+
 def nearest_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.encode(_vectors(spark, sf_dir), codebook(spark, sf_dir).where("level = 0")).select("vec_id", "code", F.round("d2", 6).alias("d2"))
 
@@ -139,7 +160,7 @@ def position_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        box_restore, box_pairs, box_counts, knn, nearest_code, nearest_code_by_expression, residual_codes, code_vectors, code_usage, usage_metrics, code_sums, ema_update, dead_restart,
+        box_restore, box_pairs, box_counts, skewed_box_pairs, skewed_box_counts, knn, knn_join, nearest_code, nearest_code_by_expression, residual_codes, code_vectors, code_usage, usage_metrics, code_sums, ema_update, dead_restart,
         vector_stats, channel_stats, used_code_count, method_mismatches, kmeans_codes, residual_kmeans_error, mean_pooling, hash_sample, strided_sample, position_codes,
     )
 }
@@ -166,6 +187,8 @@ ORACLE_SQL = {
     "box_counts": f"WITH {BOXES_SQL} SELECT qid, count(lid) AS hits FROM grid q LEFT JOIN library l ON q.x0 < l.x1 AND q.x1 > l.x0 AND q.y0 < l.y1 AND q.y1 > l.y0 GROUP BY qid",
     "knn": f"""SELECT qid, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, neighbour) AS rank
         FROM (SELECT q.vec_id AS qid, e.vec_id AS neighbour, {_D2.format("q.embedding", "e.embedding")} AS d FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""",
+    "skewed_box_pairs": f"WITH {SKEWED_SQL} SELECT q.lid AS qid, l.lid FROM skewed q, skewed l WHERE q.lid % 100 = 0 AND q.x0 < l.x1 AND q.x1 > l.x0 AND q.y0 < l.y1 AND q.y1 > l.y0",
+    "skewed_box_counts": f"WITH {SKEWED_SQL} SELECT q.lid AS qid, count(l.lid) AS hits FROM skewed q LEFT JOIN skewed l ON q.x0 < l.x1 AND q.x1 > l.x0 AND q.y0 < l.y1 AND q.y1 > l.y0 WHERE q.lid % 100 = 0 GROUP BY q.lid",
     "nearest_code": f"WITH {_CODED} SELECT vec_id, code, round(d2, 6) AS d2 FROM codes WHERE level = 0",
     "nearest_code_by_expression": f"WITH {_CODED} SELECT vec_id, code, round(d2, 6) AS d2 FROM codes WHERE level = 0",
     "residual_codes": f"WITH {_CODED} SELECT vec_id, level, code FROM codes",
@@ -198,3 +221,4 @@ ORACLE_SQL = {
         WHERE g IN (SELECT i * (SELECT count(*) FROM part) // 64 FROM range(64) r(i))""",
     "position_codes": """SELECT CAST(p AS INTEGER) AS p, CAST(k AS INTEGER) AS pos, round(CASE WHEN k < 8 THEN sin(p / pow(10000e0, k / 8.0e0)) ELSE cos(p / pow(10000e0, (k - 8) / 8.0e0)) END, 8) AS x FROM range(8) a(p), range(16) b(k)""",
 }
+ORACLE_SQL["knn_join"] = ORACLE_SQL["knn"]

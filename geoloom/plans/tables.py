@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,24 @@ BOXES_SQL = """library AS (
   SELECT i AS qid, (i % 20) * 2.5e0 AS x0, (i // 20) * 2.5e0 AS y0, (i % 20 + 1) * 2.5e0 AS x1, (i // 20 + 1) * 2.5e0 AS y1 FROM range(400) r(i)
 )"""
 
+def skewed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box for each order: most lie near the origin, one of 100 is large and one of 1000 is huge: lid, x0, y0, x1, y1."""
+    key = F.col("o_orderkey")
+    power = lambda c: reduce(lambda a, _: a * F.col(c), range(5), F.col(c)) * 10_000
+    size = F.when(key % 1000 == 7, 2000.0).when(key % 100 == 3, 100.0).otherwise(1.0)
+    drawn = table(spark, sf_dir, "orders").select(key.alias("lid"), ((key * 7919 % 10007) / F.lit(10007.0)).alias("u"), ((key * 104729 % 10009) / F.lit(10009.0)).alias("v"), size.alias("size"))
+    placed = drawn.select("lid", power("u").alias("x0"), power("v").alias("y0"), "size")
+    return placed.select("lid", "x0", "y0", (F.col("x0") + F.col("size") * (1 + F.col("lid") % 7) / 4).alias("x1"), (F.col("y0") + F.col("size") * (1 + F.col("lid") % 5) / 4).alias("y1"))
+
+
+SKEWED_SQL = """drawn AS (
+  SELECT o_orderkey AS lid, o_orderkey * 7919 % 10007 / 10007.0e0 AS u, o_orderkey * 104729 % 10009 / 10009.0e0 AS v,
+         CASE WHEN o_orderkey % 1000 = 7 THEN 2000.0e0 WHEN o_orderkey % 100 = 3 THEN 100.0e0 ELSE 1.0e0 END AS size FROM orders
+), skewed AS (
+  SELECT lid, u * u * u * u * u * u * 10000 AS x0, v * v * v * v * v * v * 10000 AS y0,
+         u * u * u * u * u * u * 10000 + size * (1 + lid % 7) / 4 AS x1, v * v * v * v * v * v * 10000 + size * (1 + lid % 5) / 4 AS y1 FROM drawn
+)"""
+
 #: Regular polygons of suppliers: sides, radius and centre.
 POLYGON = "s_suppkey AS gid, 3 + s_suppkey % 6 AS k, 1 + s_nationkey / CAST(10 AS DOUBLE) AS r, CAST(s_suppkey % 17 AS DOUBLE) AS mx, CAST(s_suppkey % 13 AS DOUBLE) AS my"
 
