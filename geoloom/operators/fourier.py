@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,43 +47,8 @@ def frequency_grid(spark: SparkSession, positive: list[float], stride: int = 1)
     return grid.withColumn("valid", F.col("u").isNotNull() & F.col("v").isNotNull())
 
 
-def _turn(t: Column) -> tuple[Column, Column]:
-    """exp(-2 pi i t)."""
-    return F.cos(2 * math.pi * t), -F.sin(2 * math.pi * t)
-
-
-def triangle_transform(u: Column, v: Column) -> Column:
-    """re and im of the transform of a triangle (ax..cy) at (u, v)."""
-    ax, ay, bx, by, cx, cy = (F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy"))
-    twice = F.abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
-    a, b = u * (bx - ax) + v * (by - ay), u * (cx - bx) + v * (cy - by)
-    pi2 = 2 * math.pi
-    ea, eb, eab = _turn(a), _turn(b), _turn(a + b)
-    same = F.when(F.abs(a) <= EPSILON, "u").when(F.abs(b) <= EPSILON, "v").otherwise("normal")
-    kind = F.when((F.abs(a) <= EPSILON) & (F.abs(b) <= EPSILON), "zero").when(F.abs(a + b) <= EPSILON, "uv").otherwise(same)
-    k = pi2 * pi2
-    product = a * b * (a + b)
-    re = (
-        F.when(kind == "uv", -(ea[0] - 1) / (k * a * a))
-        .when(kind == "u", -(eb[0] - 1) / (k * b * b))
-        .when(kind == "v", (ea[0] - pi2 * a * ea[1] - 1) / (k * a * a))
-        .when(kind == "normal", (-a * eab[0] + (a + b) * ea[0] - b) / (k * product))
-    )
-    im = (
-        F.when(kind == "uv", -(ea[1] + pi2 * a) / (k * a * a))
-        .when(kind == "u", -(eb[1] + pi2 * b) / (k * b * b))
-        .when(kind == "v", (ea[1] + pi2 * a * ea[0]) / (k * a * a))
-        .when(kind == "normal", (-a * eab[1] + (a + b) * ea[1]) / (k * product))
-    )
-    shift = _turn(u * ax + v * ay)
-    return F.struct(
-        F.when(kind == "zero", twice / 2).otherwise(twice * (re * shift[0] - im * shift[1])).alias("re"),
-        F.when(kind == "zero", 0.0).otherwise(twice * (re * shift[1] + im * shift[0])).alias("im"),
-    )
-
-
 def _triangle_transforms(t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """triangle_transform of triangles t[n, 6] at points (u, v), summed over the triangles."""
+    """The transform of triangles t[n, 6] at points (u, v), summed over the triangles."""
     ax, ay, bx, by, cx, cy = (t[:, i, None] for i in range(6))
     twice = np.abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
     a, b = u * (bx - ax) + v * (by - ay), u * (cx - bx) + v * (cy - by)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.delaunay import triangulated
+
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
 TRIANGLE = ("ax", "ay", "bx", "by", "cx", "cy")
 #: Two points nearer than this are one.
@@ -32,13 +34,13 @@ def clean_ring(ring: Column) -> Column:
     return F.when(closed, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
 
 
-def _coordinates(parts: Column, axis: str) -> Column:
+def coordinates(parts: Column, axis: str) -> Column:
     return F.transform(F.flatten(F.flatten(parts)), lambda p: p[axis])
 
 
 def frame(parts: Column) -> Column:
     """Centre and half side of the box round all points of a feature."""
-    xs, ys = _coordinates(parts, "x"), _coordinates(parts, "y")
+    xs, ys = coordinates(parts, "x"), coordinates(parts, "y")
     x0, x1, y0, y1 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
     return F.struct(((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), (F.greatest(x1 - x0, y1 - y0) / 2).alias("half"), (x1 - x0).alias("lx"), (y1 - y0).alias("ly"))
 
@@ -103,10 +105,6 @@ def triangle_fault(area: float = LEAST_AREA, height: float = LEAST_HEIGHT) -> Co
     return F.when(triangle_area() < area, "area").when(2 * triangle_area() / F.greatest(longest_edge(), F.lit(1e-12)) < height, "height")
 
 
-def keep_sound(triangles: DataFrame, area: float = LEAST_AREA, height: float = LEAST_HEIGHT) -> DataFrame:
-    return triangles.where(triangle_fault(area, height).isNull())
-
-
 def fault_counts(triangles: DataFrame, key: str = "gid", area: float = LEAST_AREA, height: float = LEAST_HEIGHT) -> DataFrame:
     """Of each feature: triangles kept, and dropped for each reason."""
     return triangles.withColumn("f", triangle_fault(area, height)).groupBy(key).agg(F.count_if(F.col("f").isNull()).alias("kept"), F.count_if(F.col("f") == "area").alias("small_area"), F.count_if(F.col("f") == "height").alias("small_height"))
@@ -121,27 +119,47 @@ def _signed_area(ring: np.ndarray) -> float:
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
 
 
-def _edges_meet(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether any edge of ring a meets any edge of ring b."""
-    p, r, q, s = a[:, None], (np.roll(a, -1, 0) - a)[:, None], b[None], (np.roll(b, -1, 0) - b)[None]
-    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
-    side = lambda o, d, t: cross(d, t - o)
-    d1, d2 = side(p, r, q), side(p, r, q + s)
-    d3, d4 = side(q, s, p), side(q, s, p + r)
-    apart = (np.maximum(p, p + r) < np.minimum(q, q + s)).any(-1) | (np.maximum(q, q + s) < np.minimum(p, p + r)).any(-1)
-    return bool(((d1 * d2 <= 0) & (d3 * d4 <= 0) & ~apart).any())
+def _edges(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ring, np.roll(ring, -1, axis=0)
+
+
+def _overlapping(low: np.ndarray, high: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the intervals low to high that overlap, by a sweep over their lower ends; about `most` pairs at a time."""
+    order = np.argsort(low, kind="stable")
+    ends = np.searchsorted(low[order], high[order], side="right")
+    count = ends - np.arange(len(low)) - 1
+    upto = np.concatenate([[0], np.cumsum(count)])
+    first = 0
+    while first < len(low):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + most, side="right")) - 1)
+        n = count[first:last]
+        i = np.repeat(np.arange(first, last), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield order[i], order[j]
+        first = last
+
+
+def _crossings(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of edges whose boxes overlap, with the product of the sides that the ends of each lie on of the other."""
+    low, high = np.minimum(starts, ends), np.maximum(starts, ends)
+    side = lambda p, q, t: (q[:, 0] - p[:, 0]) * (t[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (t[:, 0] - p[:, 0])
+    for i, j in _overlapping(low[:, 0], high[:, 0]):
+        both = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+        i, j = i[both], j[both]
+        p, q, r, s = starts[i], ends[i], starts[j], ends[j]
+        yield i, j, side(p, q, r) * side(p, q, s), side(r, s, p) * side(r, s, q)
+
+
+def _edges_meet(shell: np.ndarray, holes: list[np.ndarray]) -> bool:
+    """Whether an edge of the shell meets an edge of a hole."""
+    starts, ends = (np.concatenate(x) for x in zip(*map(_edges, [shell, *holes]), strict=True))
+    in_shell = np.arange(len(starts)) < len(shell)
+    return any(((in_shell[i] != in_shell[j]) & (d <= 0) & (e <= 0)).any() for i, j, d, e in _crossings(starts, ends))
 
 
 def _self_crossing(ring: np.ndarray) -> bool:
-    """Whether two edges that are not neighbours meet."""
-    n = len(ring)
-    for i in range(n):
-        rest = [(j, (j + 1) % n) for j in range(i + 2, n) if (j + 1) % n != i]
-        for j, k in rest:
-            a, b, c, d = ring[i], ring[(i + 1) % n], ring[j], ring[k]
-            if _cross(a, b, c) * _cross(a, b, d) < 0 and _cross(c, d, a) * _cross(c, d, b) < 0:
-                return True
-    return False
+    """Whether two edges cross within both; edges that share a corner do not."""
+    return any(((d < 0) & (e < 0)).any() for _, _, d, e in _crossings(*_edges(ring)))
 
 
 def part_fault(rings: list[np.ndarray]) -> str | None:
@@ -150,7 +168,7 @@ def part_fault(rings: list[np.ndarray]) -> str | None:
         return "empty"
     if any(len(r) < 3 or _self_crossing(r) for r in rings):
         return "invalid"
-    if any(_edges_meet(rings[0], h) for h in rings[1:]):
+    if rings[1:] and _edges_meet(rings[0], rings[1:]):
         return "touching"
     return None
 
@@ -208,7 +226,20 @@ def cut_into_triangles(rings: list[np.ndarray]) -> np.ndarray:
     return np.array(out, float)
 
 
-def _nested(xs, ys, sizes, rings) -> list[list[np.ndarray]]:
+def triangles_of(rings: list[np.ndarray]) -> np.ndarray:
+    """Delaunay triangles with the rings as fixed edges; where the sweep does not take the rings, ears are cut off. Raises ValueError if these do not make up the polygon either."""
+    try:
+        return triangulated(rings)
+    except ValueError:
+        made = cut_into_triangles(rings)
+    u, v = made[:, 1] - made[:, 0], made[:, 2] - made[:, 0]
+    area = abs(_signed_area(rings[0])) - sum(abs(_signed_area(h)) for h in rings[1:])
+    if abs(np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]).sum() / 2 - area) > 1e-9 * abs(area):
+        raise ValueError("rings touch or cross")
+    return made
+
+
+def nested(xs, ys, sizes, rings) -> list[list[np.ndarray]]:
     """Polygons as lists of rings, from all coordinates, points of each ring and rings of each polygon."""
     every = np.split(np.column_stack([xs, ys]).astype(float), np.cumsum(sizes)[:-1].astype(int)) if len(sizes) else []
     ends = np.cumsum(rings).astype(int)
@@ -231,11 +262,11 @@ def triangulate(rows: DataFrame, seconds: float = 20.0) -> DataFrame:
             out = []
             for gid, xs, ys, sizes, rings in zip(pdf["gid"], pdf["xs"], pdf["ys"], pdf["sizes"], pdf["rings"], strict=True):
                 began, found, fault = time.monotonic(), [], None
-                polygons = _nested(xs, ys, sizes, rings)
+                polygons = nested(xs, ys, sizes, rings)
                 faults = [part_fault(p) for p in polygons]
                 for polygon in (p for p, f in zip(polygons, faults, strict=True) if f is None):
                     try:
-                        found.append(cut_into_triangles(polygon))
+                        found.append(triangles_of(polygon))
                     except ValueError as e:
                         fault = str(e)
                     if time.monotonic() - began > seconds:
@@ -250,7 +281,7 @@ def triangulate(rows: DataFrame, seconds: float = 20.0) -> DataFrame:
 
     cleaned = rows.select(F.col("gid").cast("long").alias("gid"), F.coalesce(F.transform("parts", lambda part: F.transform(part, clean_ring)), F.array().cast(PARTS)).alias("parts"))
     rings = F.flatten("parts")
-    flat = cleaned.select("gid", _coordinates(F.col("parts"), "x").alias("xs"), _coordinates(F.col("parts"), "y").alias("ys"), F.transform(rings, F.size).alias("sizes"), F.transform("parts", F.size).alias("rings"))
+    flat = cleaned.select("gid", coordinates(F.col("parts"), "x").alias("xs"), coordinates(F.col("parts"), "y").alias("ys"), F.transform(rings, F.size).alias("sizes"), F.transform("parts", F.size).alias("rings"))
     return flat.mapInPandas(cut, RESULT)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +46,7 @@ BOXES_SQL = """library AS (
 def skewed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box for each order: most lie near the origin, one of 100 is large and one of 1000 is huge: lid, x0, y0, x1, y1."""
     key = F.col("o_orderkey")
-    power = lambda c: reduce(lambda a, _: a * F.col(c), range(5), F.col(c)) * 10_000
+    power = lambda c: F.aggregate(F.array_repeat(F.col(c), 5), F.col(c), lambda a, u: a * u) * 10_000
     size = F.when(key % 1000 == 7, 2000.0).when(key % 100 == 3, 100.0).otherwise(1.0)
     drawn = table(spark, sf_dir, "orders").select(key.alias("lid"), ((key * 7919 % 10007) / F.lit(10007.0)).alias("u"), ((key * 104729 % 10009) / F.lit(10009.0)).alias("v"), size.alias("size"))
     placed = drawn.select("lid", power("u").alias("x0"), power("v").alias("y0"), "size")
