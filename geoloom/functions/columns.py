@@ -96,6 +96,13 @@ def position_code(index: Column, dim: int) -> Column:
     return F.concat(F.transform(steps, lambda k: F.sin(index * rate(k))), F.transform(steps, lambda k: F.cos(index * rate(k))))
 
 
+def grid_position_code(row: Column, column: Column, dim: int) -> Column:
+    """The code of a place in a grid: dim / 2 elements for its column, then as many for its row."""
+    if dim % 4:
+        raise ValueError("sines and cosines of two axes need a multiple of four")
+    return F.concat(position_code(column, dim // 2), position_code(row, dim // 2))
+
+
 def warm_cosine(epoch: Column, warmup: int, epochs: int, least: float) -> Column:
     """A rate's factor: straight up from `least` to 1 while epoch <= warmup, then half a cosine back."""
     up = F.lit(least) + F.lit(1.0 - least) * epoch / F.lit(float(max(1, warmup)))

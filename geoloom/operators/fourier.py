@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions.columns import from_channels, to_channels
+from geoloom.operators.lineage import written
 
 #: Below this a phase counts as zero.
 EPSILON = 1e-6
+#: Triangles of a polygon that meet in one row.
+BLOCK = 65_536
 
 
 def frequencies(least: float, most: float, n: int, geometric: bool = True) -> list[float]:
@@ -48,7 +51,7 @@ def frequency_grid(spark: SparkSession, positive: list[float], stride: int = 1)
 
 
 def _triangle_transforms(t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The transform of triangles t[n, 6] at points (u, v), summed over the triangles."""
+    """The transforms of triangles t[n, 6] at points (u, v): [n, points]."""
     ax, ay, bx, by, cx, cy = (t[:, i, None] for i in range(6))
     twice = np.abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
     a, b = u * (bx - ax) + v * (by - ay), u * (cx - bx) + v * (cy - by)
@@ -62,15 +65,28 @@ def _triangle_transforms(t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndar
         along_b = (ea + one * a * ea - 1) / (k * a * a)
     value = np.select([none_a & none_b, none_c, none_a, none_b], [0.5 + 0j, along_c, along_a, along_b], general)
     value = np.where(none_a & none_b, value, value * np.exp(-2j * np.pi * (u * ax + v * ay)))
-    return (twice * value).sum(axis=0)
+    return twice * value
 
 
-def spectra(triangles: DataFrame, grid: DataFrame, key: str = "gid", most_cells: int = 2_000_000) -> DataFrame:
+def _summed(t: np.ndarray, counts: np.ndarray, u: np.ndarray, v: np.ndarray, step: int) -> np.ndarray:
+    """The transforms of polygons whose triangles t lie end to end, `counts` to each: [polygons, points], step triangles at a time."""
+    out, owner = np.zeros((len(counts), len(u)), complex), np.repeat(np.arange(len(counts)), counts)
+    for i in range(0, len(t), step):
+        own = owner[i : i + step]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        # A polygon may go on in the next step.
+        out[own[first]] += np.add.reduceat(_triangle_transforms(t[i : i + step], u, v), first, axis=0)
+    return out
+
+
+def spectra(triangles: DataFrame, grid: DataFrame, key: str = "gid", most_cells: int = 2_000_000, block: int = BLOCK) -> DataFrame:
     """The transform of each polygon, the sum over its triangles: key, u_idx, v_idx, re, im. Padding is left out.
 
-    Each polygon's triangles meet in one row, and a task works through its rows
-    in array operations of at most most_cells triangles times frequencies.
-    The grid, small by construction, is the only thing that goes to every task.
+    Blocks of a polygon's triangles meet in one row, by tri_no where there is
+    one; a task works through a batch of rows in array operations of about
+    most_cells triangles times frequencies. Only polygons of several blocks are
+    summed up after that. The grid, small by construction, is the only thing
+    that goes to every task.
     """
     cells = grid.where("valid").select("u_idx", "v_idx", "u", "v").orderBy("u_idx", "v_idx").toPandas()
     u, v = cells["u"].to_numpy(float), cells["v"].to_numpy(float)
@@ -78,15 +94,23 @@ def spectra(triangles: DataFrame, grid: DataFrame, key: str = "gid", most_cells:
 
     def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, flat in zip(pdf["k"], pdf["t"], strict=True):
-                t = np.asarray(flat, float).reshape(-1, 6)
-                s = sum((_triangle_transforms(t[i : i + step], u, v) for i in range(0, len(t), step)), np.zeros(len(u), complex))
-                yield pd.DataFrame({"k": name, "u_idx": cells["u_idx"], "v_idx": cells["v_idx"], "re": s.real, "im": s.imag})
+            counts = np.array([len(t) // 6 for t in pdf["t"]], np.int64)
+            if not len(counts):
+                continue
+            s = _summed(np.concatenate([np.asarray(t, float) for t in pdf["t"]]).reshape(-1, 6), counts, u, v, step)
+            n = len(counts)
+            yield pd.DataFrame({"k": pdf["k"].repeat(len(u)).array, "u_idx": np.tile(cells["u_idx"], n), "v_idx": np.tile(cells["v_idx"], n), "re": s.real.ravel(), "im": s.imag.ravel()})
 
     corners = F.array(*[F.col(c).cast("double") for c in ("ax", "ay", "bx", "by", "cx", "cy")])
-    polygons = triangles.where(corners[0].isNotNull()).groupBy(F.col(key).alias("k")).agg(F.flatten(F.collect_list(corners)).alias("t"))
+    numbered = triangles.where(corners[0].isNotNull()).withColumn("__block", F.floor(F.col("tri_no") / block) if "tri_no" in triangles.columns else F.lit(0).cast("long"))
+    polygons = numbered.groupBy(F.col(key).alias("k"), F.coalesce("__block", F.lit(0)).alias("b")).agg(F.flatten(F.collect_list(corners)).alias("t"))
+    # Triangles may be costly to come by, and the blocks are looked at twice.
+    polygons = written(polygons, "polygon-blocks")
     kind = polygons.schema["k"].dataType.simpleString()
-    return polygons.mapInPandas(transform, f"k {kind}, u_idx int, v_idx int, re double, im double").withColumnRenamed("k", key)
+    made = polygons.select("k", "t").mapInPandas(transform, f"k {kind}, u_idx int, v_idx int, re double, im double").withColumnRenamed("k", key)
+    if polygons.where("b > 0").isEmpty():
+        return made
+    return made.groupBy(key, "u_idx", "v_idx").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def channels(spectrum: DataFrame) -> DataFrame:
@@ -107,12 +131,13 @@ def pixels(spark: SparkSession, size: int) -> DataFrame:
 def rasters(spectrum: DataFrame, grid: DataFrame, size: int, key: str = "gid") -> DataFrame:
     """Each polygon's transform back as an image of values from 0 to 1: key, py, px, value.
 
-    The way back is separable: two matrix products for each polygon, whose
-    spectrum meets in one row. The grid goes to every task.
+    The way back is separable: two matrix products for a batch of polygons,
+    each of whose spectra meets in one row. The grid goes to every task.
     """
     axes = grid.where("valid").select("u_idx", "v_idx", "u", "v", "du", "dv").toPandas()
     us, vs = axes.drop_duplicates("u_idx").sort_values("u_idx"), axes.drop_duplicates("v_idx").sort_values("v_idx")
-    row_of, column_of = (dict(zip(x[c], range(len(x)), strict=True)) for x, c in ((us, "u_idx"), (vs, "v_idx")))
+    row_of, column_of = (np.zeros(x[c].max() + 1, np.int64) for x, c in ((us, "u_idx"), (vs, "v_idx")))
+    row_of[us["u_idx"]], column_of[vs["v_idx"]] = np.arange(len(us)), np.arange(len(vs))
     at = -1 + 2 * np.arange(size) / max(1, size - 1)
     along_x = np.exp(2j * np.pi * np.outer(us["u"], at)) * us["du"].to_numpy()[:, None]
     along_y = np.exp(2j * np.pi * np.outer(vs["v"], -at)) * (vs["dv"] * np.where(vs["v"] > 1e-6, 2.0, 1.0)).to_numpy()[:, None]
@@ -120,11 +145,16 @@ def rasters(spectrum: DataFrame, grid: DataFrame, size: int, key: str = "gid") -
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, i, j, re, im in zip(pdf["k"], pdf["i"], pdf["j"], pdf["re"], pdf["im"], strict=True):
-                s = np.zeros((len(us), len(vs)), complex)
-                s[[row_of[x] for x in i], [column_of[x] for x in j]] = np.asarray(re, float) + 1j * np.asarray(im, float)
-                f = (along_y.T @ s.T @ along_x).real
-                yield pd.DataFrame({"k": name, "py": py, "px": px, "value": ((f - f.min()) / (f.max() - f.min() + 1e-8)).ravel()})
+            n = len(pdf)
+            if not n:
+                continue
+            own = np.repeat(np.arange(n), [len(i) for i in pdf["i"]])
+            flat = lambda c: np.concatenate([np.asarray(x) for x in pdf[c]])
+            s = np.zeros((n, len(vs), len(us)), complex)
+            s[own, column_of[flat("j")], row_of[flat("i")]] = flat("re") + 1j * flat("im")
+            f = (along_y.T @ s @ along_x).real.reshape(n, -1)
+            low, high = f.min(axis=1, keepdims=True), f.max(axis=1, keepdims=True)
+            yield pd.DataFrame({"k": pdf["k"].repeat(size * size).array, "py": np.tile(py, n), "px": np.tile(px, n), "value": ((f - low) / (high - low + 1e-8)).ravel()})
 
     cells = spectrum.join(F.broadcast(grid.where("valid").select("u_idx", "v_idx")), ["u_idx", "v_idx"], "left_semi")
     met = cells.groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct("u_idx", "v_idx", "re", "im")).alias("c"))

@@ -40,8 +40,9 @@ def sampled_points(triangles: DataFrame, near_edges: int, uniform: int, seed: in
     each = each.withColumns({"tri": F.get("tris", F.floor(draw(0) * F.size("tris")).cast("int")), "side": F.floor(draw(1) * 3), "t": draw(2)})
     corner = lambda n, c: F.when(F.col("side") == 0, held[f"{'ab'[n]}{c}"]).when(F.col("side") == 1, held[f"{'bc'[n]}{c}"]).otherwise(held[f"{'ca'[n]}{c}"])
     clip = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
-    # The sum of two uniform draws stands for the jitter's bell shape.
-    edge = lambda c, k: clip(corner(0, c) * (1 - F.col("t")) + corner(1, c) * F.col("t") + (draw(k) + draw(k + 1) - 1) * spread)
+    # A normal draw from two uniform ones.
+    normal = lambda k: F.sqrt(-2 * F.log(1 - draw(k))) * F.cos(2 * F.pi() * draw(k + 1))
+    edge = lambda c, k: clip(corner(0, c) * (1 - F.col("t")) + corner(1, c) * F.col("t") + normal(k) * spread)
     place = lambda c, k: F.when(F.col("point_no") < near_edges, edge(c, k)).otherwise(draw(k) * 2 - 1)
     return each.select(key, "point_no", place("x", 3).alias("x"), place("y", 5).alias("y"))
 

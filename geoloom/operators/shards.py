@@ -6,9 +6,9 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geoloom.operators.packing import packed  # noqa: F401
+from geoloom.operators.store import running
 from geoloom.operators.vectors import hash_order
 
 #: Estimated bytes of a sample besides its payload.
@@ -47,9 +47,9 @@ def batches(indexed: DataFrame, size: int, drop_last: bool = False, index: str =
 
 
 def manifest(rows: DataFrame, shard: str, size: str) -> DataFrame:
-    """Of each shard: samples, bytes, and the number of its first sample; one window over one row a shard."""
+    """Of each shard: samples, bytes, and the number of its first sample, by running sums over ranges of shards."""
     each = rows.groupBy(F.col(shard).alias("shard")).agg(F.count("*").alias("samples"), F.sum(size).cast("bigint").alias("bytes"))
-    return each.withColumn("start_index", (F.sum("samples").over(Window.orderBy("shard")) - F.col("samples")).cast("bigint"))
+    return running(each, ["shard"], "samples").withColumnRenamed("__before", "start_index").withColumn("start_index", F.col("start_index").cast("bigint"))
 
 
 def manifest_totals(shards: DataFrame) -> DataFrame:

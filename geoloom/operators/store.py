@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from geoloom.functions.columns import NOT_ATTRIBUTES, is_forced_text
+from geoloom.operators.lineage import written
 
 #: Rows of one chunk of the row address space.
 CHUNK_ROWS = 100_000
@@ -130,7 +131,7 @@ class Store:
         """
         parts = []
         for x in self.having(request):
-            left, aggs, names = self._number_test(x, request), [], []
+            left, aggs, names = F.lit(True), [], []
             for step, (f, values) in enumerate(request.texts.items()):
                 for v in values:
                     aggs.append(F.count_if(left & self._text_test(x, f, [v], any_cell)).alias(f"n{len(names)}"))
@@ -138,7 +139,8 @@ class Store:
                 if not independent:
                     left = left & self._text_test(x, f, values, any_cell)
             cells = [F.struct(F.lit(s).alias("step"), F.lit(f).alias("field"), F.lit(v).alias("value"), F.col(f"n{i}").alias("hits")) for i, (s, f, v) in enumerate(names)]
-            parts.append(x.rows.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
+            # Number tests hold for all counts, so they reach the files.
+            parts.append(x.rows.where(self._number_test(x, request)).agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
         return reduce(DataFrame.unionByName, parts).groupBy("step", "field", "value").agg(F.sum("hits").alias("hits"))
 
 
@@ -171,22 +173,28 @@ def resolve(rows: DataFrame, requests: DataFrame, gid: str) -> DataFrame:
     return found.withColumn("outcome", F.when(F.col("found") == 0, "missing").when(F.col("found") == 1, "one").otherwise("ambiguous"))
 
 
-def dense_index(rows: DataFrame, key: str, name: str = "global_idx", pieces: int | None = None) -> DataFrame:
-    """Rows numbered from 0 without gaps in the order of a unique numeric key, without one task that sorts all.
+def running(rows: DataFrame, order: list[str], total: str | None = None, pieces: int | None = None) -> DataFrame:
+    """rows with __before, how many rows come before each in `order`, or with total the sum of that column over them.
 
-    Quantiles of the key cut it into ranges; each is numbered on its own and
-    starts where the counts of the ranges before it end.
+    Rows are dealt into ranges and written; each range is added up on its own
+    and starts where the sums of the ranges before it end. What one window sees
+    is one row for each range. Equal rows share no place: they get places one
+    after another.
     """
     pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.approxQuantile(key, [i / pieces for i in range(1, pieces)], 0.2 / pieces))) if pieces > 1 else []
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    ranged = rows.withColumn("__piece", piece)
-    counts = ranged.groupBy("__piece").agg(F.count("*").alias("__n"))
-    # One row for each range, so this window and broadcast are small.
-    starts = counts.select(F.col("__piece").alias("__p"), (F.sum("__n").over(Window.orderBy("__piece")) - F.col("__n")).alias("__start"))
-    numbered = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__piece").orderBy(key)) - 1)
-    placed = numbered.join(F.broadcast(starts), F.col("__piece") == F.col("__p"))
-    return placed.withColumn(name, (F.col("__start") + F.col("__row")).cast("bigint")).drop("__piece", "__p", "__start", "__row")
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    ranged = written(tied.repartitionByRange(pieces, *order, "__tie").withColumn("__piece", F.spark_partition_id()), "running-ranges")
+    size = F.col(total) if total else F.lit(1)
+    sums = ranged.groupBy("__piece").agg(F.sum(size).alias("__sum"))
+    starts = sums.select(F.col("__piece").alias("__p"), (F.sum("__sum").over(Window.orderBy("__piece")) - F.col("__sum")).alias("__start"))
+    inside = Window.partitionBy("__piece").orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("__upto", F.sum(size).over(inside)).join(F.broadcast(starts), F.col("__piece") == F.col("__p"))
+    return placed.withColumn("__before", F.col("__start") + F.col("__upto") - size).drop("__piece", "__p", "__start", "__upto", "__tie")
+
+
+def dense_index(rows: DataFrame, key: str, name: str = "global_idx", pieces: int | None = None) -> DataFrame:
+    """Rows numbered from 0 without gaps in the order of a unique key, without one task that sorts all."""
+    return running(rows, [key], None, pieces).withColumnRenamed("__before", name).withColumn(name, F.col(name).cast("bigint"))
 
 
 def with_address(rows: DataFrame, index: str = "global_idx", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -209,6 +217,12 @@ def layers_of(index: DataFrame, ranges: DataFrame) -> DataFrame:
     return index.join(F.broadcast(ranges), (F.col("global_idx") >= F.col("start_idx")) & (F.col("global_idx") < F.col("end_idx"))).drop("start_idx", "end_idx")
 
 
+def row_widths(layer: Layer) -> DataFrame:
+    """The width of each row of a layer: three limbs a number, and a place for each character of its texts, parted by blanks."""
+    texts = F.length(F.concat_ws(" ", *[F.col(c).cast("string") for c in layer.texts.values()])) if layer.texts else F.lit(0)
+    return layer.rows.select(F.lit(layer.name).alias("layer"), (F.lit(3 * len(layer.numbers)) + texts).alias("width"))
+
+
 def used_columns(layer: Layer) -> DataFrame:
     """The layer's columns that hold anything but blanks: layer, columns, n_rows; layers with equal columns share an export."""
     names = list(layer.rows.columns)
@@ -228,7 +242,15 @@ def export_groups(store: Store, folder: str) -> dict[tuple[str, ...], list[str]]
     return {c: [m.name for m in ms] for c, ms in groups.items()}
 
 
-def export_matches(rows: DataFrame, folder: str, index: str = "global_idx") -> None:
-    """Writes matches in the order of their index, with a table of how many there are and where."""
+def export_matches(rows: DataFrame, folder: str, index: str = "global_idx", gid: str | None = None) -> None:
+    """Writes matches in the order of their index, their indices and ids apart from them, and a line of how many there are, where and when."""
     rows.repartitionByRange(F.col(index)).sortWithinPartitions(index).write.mode("errorifexists").parquet(f"{folder}/rows")
-    rows.agg(F.count("*").alias("match_count"), F.min(index).alias("first_index"), F.max(index).alias("last_index")).write.parquet(f"{folder}/meta")
+    written_rows = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+    written_rows.select(F.col(index).alias("index"), (F.col(gid) if gid else F.lit(None)).cast("bigint").alias("gid")).write.json(f"{folder}/indices")
+    counts = written_rows.agg(F.count("*").alias("match_count"), F.min(index).alias("first_index"), F.max(index).alias("last_index"))
+    counts.withColumn("timestamp", F.current_timestamp()).write.parquet(f"{folder}/meta")
+
+
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """Rows of tables with different columns one below another; a column that a table lacks is null there. Equal names need types that go together."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -102,11 +102,36 @@ def encode(rows: DataFrame, codebook: DataFrame, key: str = "vec_id", vector: st
 
 
 def decode(codes: DataFrame, codebook: DataFrame, key: str = "vec_id") -> DataFrame:
-    """The sum over levels of each key's code vectors: key, embedding. Codes that no codebook row has are left out."""
-    sized = codebook if codebook.count() > MOST_CODES else F.broadcast(codebook)
-    each = codes.select(key, "level", "code").join(sized, ["level", "code"]).select(key, F.posexplode("vec").alias("pos", "x"))
-    summed = each.groupBy(key, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    return summed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("embedding"))
+    """The sum over levels of each key's code vectors: key, embedding. Codes that no codebook row has are left out; a key without any other is left out too.
+
+    A key's codes meet in one row and are summed up as arrays in the task, if
+    the codebook is small enough for every task; else by a join of its vectors.
+    """
+    if codebook.count() > MOST_CODES:
+        each = codes.select(key, "level", "code").join(codebook, ["level", "code"]).select(key, F.posexplode("vec").alias("pos", "x"))
+        summed = each.groupBy(key, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
+        return summed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("embedding"))
+    levels = _codes(codebook)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            owner = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["level"]])
+            if not len(owner):
+                continue
+            level, code = (np.concatenate([np.asarray(x, np.int64) for x in pdf[c]]) for c in ("level", "code"))
+            total, known = None, np.zeros(len(pdf), bool)
+            for k, (names, vectors) in levels.items():
+                at = np.minimum(np.searchsorted(names, code), len(names) - 1)
+                hit = (level == k) & (names[at] == code)
+                total = np.zeros((len(pdf), vectors.shape[1])) if total is None else total
+                np.add.at(total, owner[hit], vectors[at[hit]])
+                known[owner[hit]] = True
+            if known.any():
+                yield pd.DataFrame({"k": pdf["k"][known].array, "embedding": list(total[known])})
+
+    met = codes.groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct("level", "code")).alias("c")).select("k", F.col("c.level").alias("level"), F.col("c.code").alias("code"))
+    kind = met.schema["k"].dataType.simpleString()
+    return met.mapInPandas(add_up, f"k {kind}, embedding array<double>").withColumnRenamed("k", key)
 
 
 def usage(codes: DataFrame, n_codes: int) -> DataFrame:
@@ -129,9 +154,25 @@ def usage_metrics(used: DataFrame, top: int = 10) -> DataFrame:
 
 
 def sums_by_code(rows: DataFrame, codes: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Sum of the vectors of each code and position: level, code, pos, total, n."""
-    each = rows.join(codes.select(key, "level", "code"), key).select("level", "code", F.posexplode(vector).alias("pos", "x"))
-    return each.groupBy("level", "code", "pos").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count("*").alias("n"))
+    """Sum of the vectors of each code and position: level, code, pos, total, n.
+
+    Each batch hands on one array for each code that it has; only those are
+    summed up by position after the shuffle.
+    """
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                pairs, at = np.unique(pdf[["level", "code"]].to_numpy(np.int64), axis=0, return_inverse=True)
+                v = _matrix(pdf["v"])
+                total = np.zeros((len(pairs), v.shape[1]))
+                np.add.at(total, at.ravel(), v)
+                yield pd.DataFrame({"level": pairs[:, 0], "code": pairs[:, 1], "total": list(total), "n": np.bincount(at.ravel())})
+
+    joined = rows.select(key, F.col(vector).alias("v")).where("v is not null").join(codes.select(key, "level", "code"), key).select("level", "code", "v")
+    parts = joined.mapInPandas(add_up, "level int, code long, total array<double>, n long")
+    each = parts.select("level", "code", "n", F.posexplode("total").alias("pos", "x"))
+    return each.groupBy("level", "code", "pos").agg(F.sum("x").alias("total"), F.sum("n").alias("n"))
 
 
 def ema_update(state: DataFrame, batch: DataFrame, decay: float = 0.99, epsilon: float = 1e-5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ STATUS = Request({"status": ["F", "O"]}, [("amount", ">=", 50_000.0)])
 
 
 def layer_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers and which of them have all the fields of a request."""
+    """Layers, how many rows and ids they have, and which of them have all the fields of a request."""
     s = store(spark, sf_dir)
     kept = {x.name for x in s.having(STATUS)}
-    return s.catalog().select("layer", F.array_join("number_columns", ",").alias("numbers"), F.array_join("text_columns", ",").alias("texts"), F.col("layer").isin(kept).alias("kept"))
+    counts = reduce(DataFrame.unionByName, [x.rows.agg(F.count("*").alias("rows"), F.count_distinct(x.id_column()).alias("ids")).withColumn("name", F.lit(x.name)) for x in s.layers])
+    named = s.catalog().select("layer", F.array_join("number_columns", ",").alias("numbers"), F.array_join("text_columns", ",").alias("texts"), F.col("layer").isin(kept).alias("kept"))
+    return named.join(counts, F.col("layer") == F.col("name")).drop("name")
 
 
 def compound_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,22 +64,6 @@ def token_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count_if(has_window(F.split(F.lower("text"), " "), ["of", "the"])).alias("n"))
 
 
-def _requests(spark: SparkSession, step: int = 37, over: int = 200_000, n: int = 2000) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("pos"), (F.col("id") * step * 11 % over).alias("gid"))
-
-
-def gid_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in the order of requests, which repeat ids and name missing ones."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gid"), "o_totalprice")
-    return stores.fetch(orders, _requests(spark, over=7000))
-
-
-def gid_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where an id has many rows, the one with the greatest price answers."""
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("gid"), "l_extendedprice").agg(F.max("l_quantity").alias("l_quantity"))
-    return stores.fetch(stores.latest(items, "gid", "l_extendedprice"), _requests(spark, over=7000))
-
-
 def _hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order key that 100 divides; of these every tenth again, and for every fifth a negative id that no row has."""
     key = F.col("o_orderkey")
@@ -106,14 +94,6 @@ def gid_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.duplicate_ids(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
-def gid_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stores.missing_ids(table(spark, sf_dir, "orders"), _requests(spark), "o_orderkey")
-
-
-def gid_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stores.resolve(table(spark, sf_dir, "lineitem"), _requests(spark, over=20_000), "l_orderkey")
-
-
 def row_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return stores.with_address(stores.dense_index(orders, "o_orderkey"), chunk_rows=1000)
@@ -125,13 +105,6 @@ def gid_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.with_address(orders.where("o_orderstatus = 'F' AND o_totalprice > 300000"), chunk_rows=1000)
 
 
-def layer_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global row numbers back to layers by the ranges that the layers take."""
-    ranges = spark.createDataFrame([("a", 0, 1000), ("b", 1000, 1500), ("c", 1500, 9000)], "layer string, start_idx long, end_idx long")
-    orders = stores.dense_index(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-    return stores.layers_of(orders, ranges).groupBy("layer").agg(F.count("*").alias("n"), F.min("global_idx").alias("first_idx"), F.max("global_idx").alias("last_idx"))
-
-
 def layer_of_every_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The global row numbers of all rows of all layers back to their layers, by ranges from the layers' row counts."""
     ranges = stores.layer_ranges(store(spark, sf_dir))
@@ -142,8 +115,6 @@ def layer_of_every_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def used_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that hold anything, by layer; one layer gets a column that never does."""
-    from functools import reduce
-
     from geoloom.operators.store import Layer
 
     layers = [Layer(x.name, x.rows.withColumn("note", F.lit("  ")) if x.name == "orders" else x.rows, x.gid) for x in store(spark, sf_dir).layers]
@@ -162,10 +133,9 @@ def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The widest row of all layers, in steps of 64: three limbs a number and a place a text character."""
-    part = table(spark, sf_dir, "part").select((3 * F.lit(2) + F.length(F.concat_ws(" ", "p_brand", "p_type"))).alias("w"))
-    orders = table(spark, sf_dir, "orders").select((3 * F.lit(1) + F.length(F.concat_ws(" ", "o_orderstatus", "o_orderpriority"))).alias("w"))
-    return part.union(orders).agg(F.max("w").alias("widest")).select("widest", aligned(F.col("widest")).alias("width"))
+    """The widest row of all six layers, in steps of 64."""
+    widths = reduce(DataFrame.unionByName, [stores.row_widths(x) for x in store(spark, sf_dir).layers])
+    return widths.agg(F.max("width").alias("widest")).select("widest", aligned(F.col("widest")).alias("width"))
 
 
 def decoded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +158,7 @@ def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("orders", orders, orders, "o_orderkey", ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]),
         ("customer", customer, damaged, "c_custkey", ["c_acctbal"], ["c_name", "c_mktsegment"]),
     ):
-        parts.append(audit.cells(rows, audit.encoded(source, layer, key, numbers, texts), layer, key, numbers, texts))
+        parts.append(audit.compared(rows, audit.encoded(source, layer, key, numbers, texts), layer, key, numbers, texts))
     return audit.totals(parts)
 
 
@@ -199,24 +169,26 @@ def gid_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of all layers by whether their names force them to be text."""
-    rows = [(x.name, f.name, is_forced_text(f.name), f.name.lower() in x.numbers) for x in store(spark, sf_dir).layers for f in x.rows.schema.fields if f.name != x.gid]
-    return spark.createDataFrame(rows, "layer string, column string, forced_text boolean, is_number boolean")
+    """Columns of all layers by whether their names force them to be text, and how many rows fill them."""
+    parts = []
+    for x in store(spark, sf_dir).layers:
+        fields = [f.name for f in x.rows.schema.fields if f.name != x.gid]
+        each = F.array(*[F.struct(F.lit(f).alias("column"), F.lit(is_forced_text(f)).alias("forced_text"), F.lit(f.lower() in x.numbers).alias("is_number"), F.col(f"`{f}`").alias("filled")) for f in fields])
+        parts.append(x.rows.agg(*[F.count(f).alias(f) for f in fields]).select(F.lit(x.name).alias("layer"), F.explode(each).alias("c")).select("layer", "c.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        layer_catalog, compound_query, compound_counts, number_range, any_cell_query, funnel_counts, independent_counts, funnel_report, token_window, gid_fetch, gid_latest,
-        gid_duplicates, gid_missing, gid_resolve, row_addresses, gid_export, layer_by_range, layer_of_every_row, used_columns, distinct_texts, distinct_rows, row_width, decoded_cells, limb_codec,
+        layer_catalog, compound_query, compound_counts, number_range, any_cell_query, funnel_counts, independent_counts, funnel_report, token_window,
+        gid_duplicates, row_addresses, gid_export, layer_of_every_row, used_columns, distinct_texts, distinct_rows, row_width, decoded_cells, limb_codec,
         audit_totals, gid_validation, field_kinds, gid_fetch_hundredths, gid_latest_hundredths, gid_missing_hundredths, gid_resolve_hundredths,
     )
 }
 
 _STATUS_SQL = """SELECT 'lineitem' AS layer, l_orderkey AS gid, l_linestatus AS status, l_extendedprice AS amount FROM lineitem WHERE l_linestatus IN ('F', 'O') AND l_extendedprice >= 50000
 UNION ALL SELECT 'orders', o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 50000"""
-_REQUESTS = "(SELECT i AS pos, i * 37 * 11 % {over} AS gid FROM range(2000) r(i))"
-
 _HUNDREDTHS = """(SELECT 3 * o_orderkey AS pos, o_orderkey AS gid FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT 3 * o_orderkey + 1, o_orderkey FROM orders WHERE o_orderkey % 1000 = 0
         UNION ALL SELECT 3 * o_orderkey + CASE WHEN o_orderkey % 1000 = 0 THEN 2 ELSE 1 END, -1 - o_orderkey FROM orders WHERE o_orderkey % 500 = 0)"""
 
@@ -236,9 +208,23 @@ _LIMBS = """limb AS (
 ), coded AS (SELECT key, x, CAST(ip AS DOUBLE) AS ip, CAST(hi AS DOUBLE) AS hi, CAST(lo AS DOUBLE) AS lo,
   round(round(CAST(ip AS DOUBLE)) + round(CAST(hi AS DOUBLE)) / 1e4 + round(CAST(lo AS DOUBLE)) / 1e8, 6) AS back FROM limb4)"""
 
+#: Layer, table, id, numbers, texts.
+_LAYERS = (
+    ("lineitem", "l_orderkey", {"amount": "l_extendedprice"}, {"status": "l_linestatus", "flag": "l_returnflag"}), ("orders", "o_orderkey", {"amount": "o_totalprice"}, {"status": "o_orderstatus", "priority": "o_orderpriority"}),
+    ("customer", "c_custkey", {"amount": "c_acctbal"}, {"segment": "c_mktsegment"}), ("supplier", "s_suppkey", {"amount": "s_acctbal"}, {}),
+    ("part", "p_partkey", {"price": "p_retailprice"}, {"brand": "p_brand", "type": "p_type"}), ("events", "event_id", {"amount": "value"}, {"type": "event_type"}),
+)
+
 ORACLE_SQL = {
-    "layer_catalog": """SELECT * FROM (VALUES ('lineitem', 'amount', 'status,flag', true), ('orders', 'amount', 'status,priority', true), ('customer', 'amount', 'segment', false),
-        ('supplier', 'amount', '', false), ('part', 'price', 'brand,type', false), ('events', 'amount', 'type', false)) t(layer, numbers, texts, kept)""",
+    "layer_catalog": " UNION ALL ".join(
+        f"SELECT '{t}' AS layer, '{','.join(n)}' AS numbers, '{','.join(x)}' AS texts, {str('status' in x and 'amount' in n).lower()} AS kept, count(*) AS rows, count(DISTINCT {i}) AS ids FROM {t}" for t, i, n, x in _LAYERS
+    ),
+    "field_kinds": " UNION ALL ".join(
+        f"SELECT '{t}' AS layer, '{f}' AS \"column\", false AS forced_text, {str(f in n).lower()} AS is_number, count({c}) AS filled FROM {t}" for t, _, n, x in _LAYERS for f, c in {**x, **n}.items()
+    ),
+    "row_width": "SELECT CAST(max(w) AS INTEGER) AS widest, CAST(ceil(max(w) / 64.0) * 64 AS BIGINT) AS width FROM ("
+    + " UNION ALL ".join(f"SELECT {3 * len(n)} + {'length(concat_ws(' + repr(' ') + ', ' + ', '.join(x.values()) + '))' if x else 0} AS w FROM {t}" for t, _, n, x in _LAYERS)
+    + ")",
     "compound_query": _STATUS_SQL,
     "compound_counts": f"SELECT layer, status, count(*) AS n, round(sum(amount), 2) AS total FROM ({_STATUS_SQL}) GROUP BY ALL",
     "number_range": """SELECT 'lineitem' AS layer, l_orderkey AS gid, l_extendedprice AS amount FROM lineitem WHERE l_extendedprice BETWEEN 1000 AND 2500
@@ -252,13 +238,7 @@ ORACLE_SQL = {
     "independent_counts": _counts(True),
     "funnel_report": f"SELECT field, count(*) AS asked, count(*) FILTER (WHERE hits = 0) AS without_hit, max(hits) AS most FROM ({_counts(False)}) GROUP BY field",
     "token_window": "SELECT lang, count(*) FILTER (WHERE ' ' || lower(text) || ' ' LIKE '% of the %') AS n FROM documents GROUP BY lang",
-    "gid_fetch": f"SELECT pos, gid, o_totalprice FROM {_REQUESTS.format(over=7000)} q JOIN orders ON o_orderkey = gid",
-    "gid_latest": f"""SELECT pos, gid, l_extendedprice, l_quantity FROM {_REQUESTS.format(over=7000)} q JOIN
-        (SELECT l_orderkey, max((l_extendedprice, l_quantity)) AS b, b[1] AS l_extendedprice, b[2] AS l_quantity FROM lineitem GROUP BY l_orderkey) ON l_orderkey = gid""",
     "gid_duplicates": "SELECT l_orderkey AS gid, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
-    "gid_missing": f"SELECT gid, pos FROM {_REQUESTS.format(over=200_000)} q WHERE gid NOT IN (SELECT o_orderkey FROM orders)",
-    "gid_resolve": f"""SELECT gid, found, CASE WHEN found = 0 THEN 'missing' WHEN found = 1 THEN 'one' ELSE 'ambiguous' END AS outcome FROM
-        (SELECT gid, count(l_orderkey) AS found FROM (SELECT DISTINCT gid FROM {_REQUESTS.format(over=20_000)} r) q LEFT JOIN lineitem ON l_orderkey = gid GROUP BY gid)""",
     "gid_fetch_hundredths": f"SELECT pos, gid, o_totalprice FROM {_HUNDREDTHS} q JOIN orders ON o_orderkey = gid",
     "gid_latest_hundredths": f"""SELECT pos, gid, l_extendedprice, l_quantity FROM {_HUNDREDTHS} q JOIN
         (SELECT l_orderkey, max((l_extendedprice, l_quantity)) AS b, b[1] AS l_extendedprice, b[2] AS l_quantity FROM lineitem GROUP BY l_orderkey) ON l_orderkey = gid""",
@@ -268,8 +248,6 @@ ORACLE_SQL = {
     "row_addresses": "SELECT o_orderkey, g AS global_idx, g // 1000 AS chunk_id, g % 1000 AS local_idx FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS g FROM orders)",
     "gid_export": """SELECT o_orderkey, o_orderstatus, o_totalprice, g AS global_idx, g // 1000 AS chunk_id, g % 1000 AS local_idx FROM
         (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS g FROM orders) WHERE o_orderstatus = 'F' AND o_totalprice > 300000""",
-    "layer_by_range": """SELECT CASE WHEN g < 1000 THEN 'a' WHEN g < 1500 THEN 'b' ELSE 'c' END AS layer, count(*) AS n, min(g) AS first_idx, max(g) AS last_idx
-        FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS g FROM orders) WHERE g < 9000 GROUP BY 1""",
     "layer_of_every_row": "WITH c AS ("
     + " UNION ALL ".join(f"SELECT {i} AS k, '{t}' AS layer, count(*) AS n FROM {t}" for i, t in enumerate(("lineitem", "orders", "customer", "supplier", "part", "events")))
     + "), r AS (SELECT layer, n, CAST(sum(n) OVER (ORDER BY k) AS BIGINT) AS stop FROM c) SELECT layer, n, stop - n AS first_idx, stop - 1 AS last_idx FROM r WHERE n > 0",
@@ -279,14 +257,10 @@ ORACLE_SQL = {
     ),
     "distinct_texts": "SELECT DISTINCT 'p_brand' AS \"column\", trim(p_brand) AS value FROM part UNION SELECT DISTINCT 'p_type', trim(p_type) FROM part",
     "distinct_rows": "SELECT DISTINCT '[TABLE] part [DATA] ' || trim(p_brand) || ' [SEP] ' || trim(p_type) || ' [SEP] ' || CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) ELSE '' END AS line FROM part",
-    "row_width": """SELECT CAST(max(w) AS INTEGER) AS widest, CAST(ceil(max(w) / 64.0) * 64 AS BIGINT) AS width FROM (SELECT 6 + length(p_brand || ' ' || p_type) AS w FROM part
-        UNION ALL SELECT 3 + length(o_orderstatus || ' ' || o_orderpriority) FROM orders)""",
     "decoded_cells": f"SELECT c_custkey, {_CELL.format('c_name')} || '|' || {_CELL.format('c_mktsegment')} || 'x|' AS cells, 3 AS n FROM customer",
     "limb_codec": "WITH " + _LIMBS.format(key="o_orderkey", value="o_totalprice", table="orders") + " SELECT key AS o_orderkey, ip, hi, lo, back FROM coded",
     "audit_totals": """SELECT 'orders' AS layer, 2 * count(*) AS number_hits, 0 AS number_misses, 2 * count(*) AS text_hits, 0 AS text_misses, count(*) AS row_hits, 0 AS row_misses, '' AS bad_columns FROM orders
         UNION ALL SELECT 'customer', count(*) FILTER (WHERE c_custkey % 100 != 0), count(*) FILTER (WHERE c_custkey % 100 = 0), 2 * count(*), 0,
         count(*) FILTER (WHERE c_custkey % 100 != 0), count(*) FILTER (WHERE c_custkey % 100 = 0), 'c_acctbal' FROM customer""",
     "gid_validation": """SELECT CASE event_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'negative' WHEN 2 THEN 'not whole' WHEN 3 THEN 'not a number' ELSE 'ok' END AS verdict, count(*) AS n FROM events GROUP BY 1""",
-    "field_kinds": """SELECT layer, c AS "column", false AS forced_text, c IN ('amount', 'price') AS is_number FROM (VALUES ('lineitem', 'status'), ('lineitem', 'flag'), ('lineitem', 'amount'), ('orders', 'status'), ('orders', 'priority'),
-        ('orders', 'amount'), ('customer', 'segment'), ('customer', 'amount'), ('supplier', 'amount'), ('part', 'brand'), ('part', 'type'), ('part', 'price'), ('events', 'type'), ('events', 'amount')) t(layer, c)""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.functions.columns import position_code
+from geoloom.functions.columns import grid_position_code
 from geoloom.operators import pivots, quadtree, spatial, store, vectors
 from geoloom.plans.tables import BOXES_SQL, SKEWED_SQL, codebook, library_boxes, skewed_boxes, table
 
@@ -152,9 +152,10 @@ def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sine and cosine codes of positions, rows by columns of a grid."""
-    grid = spark.range(8).select(F.col("id").cast("int").alias("p"), position_code(F.col("id").cast("double"), 16).alias("code"))
-    return grid.select("p", F.posexplode("code").alias("pos", "x")).withColumn("x", F.round("x", 8))
+    """The code of each supplier's place in a grid of 17 columns."""
+    key = F.col("s_suppkey")
+    made = table(spark, sf_dir, "supplier").select(key, grid_position_code(F.floor(key / 17).cast("double"), (key % 17).cast("double"), 16).alias("code"))
+    return made.select("s_suppkey", F.posexplode("code").alias("pos", "x")).withColumn("x", F.round("x", 8))
 
 
 QUERIES = {
@@ -166,7 +167,7 @@ QUERIES = {
 }
 
 _D2 = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))"
-_CODED = f"""book AS (
+CODED_SQL = f"""book AS (
   SELECT CAST(vec_id // 64 AS INTEGER) AS level, vec_id % 64 AS code, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id < 128
 ), near0 AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, min((d, code)) AS b FROM (SELECT e.vec_id, e.embedding, b.code, {_D2.format("e.embedding", "b.vec")} AS d FROM embeddings e, book b WHERE b.level = 0) GROUP BY ALL
@@ -189,24 +190,24 @@ ORACLE_SQL = {
         FROM (SELECT q.vec_id AS qid, e.vec_id AS neighbour, {_D2.format("q.embedding", "e.embedding")} AS d FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""",
     "skewed_box_pairs": f"WITH {SKEWED_SQL} SELECT q.lid AS qid, l.lid FROM skewed q, skewed l WHERE q.lid % 100 = 0 AND q.x0 < l.x1 AND q.x1 > l.x0 AND q.y0 < l.y1 AND q.y1 > l.y0",
     "skewed_box_counts": f"WITH {SKEWED_SQL} SELECT q.lid AS qid, count(l.lid) AS hits FROM skewed q LEFT JOIN skewed l ON q.x0 < l.x1 AND q.x1 > l.x0 AND q.y0 < l.y1 AND q.y1 > l.y0 WHERE q.lid % 100 = 0 GROUP BY q.lid",
-    "nearest_code": f"WITH {_CODED} SELECT vec_id, code, round(d2, 6) AS d2 FROM codes WHERE level = 0",
-    "nearest_code_by_expression": f"WITH {_CODED} SELECT vec_id, code, round(d2, 6) AS d2 FROM codes WHERE level = 0",
-    "residual_codes": f"WITH {_CODED} SELECT vec_id, level, code FROM codes",
-    "code_vectors": f"""WITH {_CODED} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(sum(x), 6) AS x FROM
+    "nearest_code": f"WITH {CODED_SQL} SELECT vec_id, code, round(d2, 6) AS d2 FROM codes WHERE level = 0",
+    "nearest_code_by_expression": f"WITH {CODED_SQL} SELECT vec_id, code, round(d2, 6) AS d2 FROM codes WHERE level = 0",
+    "residual_codes": f"WITH {CODED_SQL} SELECT vec_id, level, code FROM codes",
+    "code_vectors": f"""WITH {CODED_SQL} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(sum(x), 6) AS x FROM
         (SELECT vec_id, unnest(range(64)) AS pos, unnest(vec) AS x FROM codes JOIN book USING (level, code)) GROUP BY vec_id, pos""",
-    "code_usage": f"WITH {_CODED} SELECT level, code, uses FROM uses",
-    "usage_metrics": f"""WITH {_CODED}, shares AS (SELECT *, uses / sum(uses) OVER (PARTITION BY level) AS p, row_number() OVER (PARTITION BY level ORDER BY uses DESC, code) AS place FROM uses)
+    "code_usage": f"WITH {CODED_SQL} SELECT level, code, uses FROM uses",
+    "usage_metrics": f"""WITH {CODED_SQL}, shares AS (SELECT *, uses / sum(uses) OVER (PARTITION BY level) AS p, row_number() OVER (PARTITION BY level ORDER BY uses DESC, code) AS place FROM uses)
         SELECT level, CAST(sum(uses) AS BIGINT) AS total, count(*) FILTER (WHERE uses > 0) AS active, round(exp(-sum(p * ln(greatest(p, 1e-10)))), 6) AS perplexity,
         round(count(*) FILTER (WHERE uses > 0) / 64.0e0, 6) AS used_share, round(max(p), 6) AS top1_share, round(sum(p) FILTER (WHERE place <= 10), 6) AS topk_share FROM shares GROUP BY level""",
-    "code_sums": f"""WITH {_CODED} SELECT code, CAST(pos AS INTEGER) AS pos, round(sum(x), 5) AS total, count(*) AS n FROM
+    "code_sums": f"""WITH {CODED_SQL} SELECT code, CAST(pos AS INTEGER) AS pos, round(sum(x), 5) AS total, count(*) AS n FROM
         (SELECT code, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings JOIN codes USING (vec_id) WHERE level = 0) GROUP BY code, pos""",
-    "ema_update": f"""WITH {_CODED}, sums AS (SELECT code, pos, sum(x) AS total, count(*) AS n FROM
+    "ema_update": f"""WITH {CODED_SQL}, sums AS (SELECT code, pos, sum(x) AS total, count(*) AS n FROM
         (SELECT code, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings JOIN codes USING (vec_id) WHERE level = 0) GROUP BY code, pos
         ), old AS (SELECT code, unnest(range(64)) AS pos, unnest(vec) AS average FROM book WHERE level = 0
         ), moved AS (SELECT o.code, o.pos, 0.99e0 + coalesce(n, 0) * 0.01e0 AS size, average * 0.99e0 + coalesce(total, 0) * 0.01e0 AS average FROM old o LEFT JOIN sums s ON s.code = o.code AND s.pos = o.pos
         ), whole AS (SELECT sum(size) AS t, count(*) AS k FROM moved WHERE pos = 0)
         SELECT code, CAST(pos AS INTEGER) AS pos, round(size, 6) AS size, round(average / ((size + 1e-5) / (t + k * 1e-5) * greatest(t, 1)), 5) AS vec FROM moved, whole""",
-    "dead_restart": f"""WITH {_CODED}, dead AS (SELECT code, (row_number() OVER (ORDER BY code) - 1) % 5 AS p FROM uses WHERE level = 0 AND uses < 3
+    "dead_restart": f"""WITH {CODED_SQL}, dead AS (SELECT code, (row_number() OVER (ORDER BY code) - 1) % 5 AS p FROM uses WHERE level = 0 AND uses < 3
         ), pool AS (SELECT vec_id - 200 AS p, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE vec_id BETWEEN 200 AND 204)
         SELECT b.code, CASE WHEN d.code IS NULL THEN CAST(u.uses AS DOUBLE) ELSE 1 END AS size, d.code IS NOT NULL AS restarted, round(coalesce(pool.first, b.vec[1]), 6) AS first
         FROM book b JOIN uses u ON u.level = 0 AND u.code = b.code LEFT JOIN dead d ON d.code = b.code LEFT JOIN pool ON pool.p = d.p WHERE b.level = 0""",
@@ -214,11 +215,12 @@ ORACLE_SQL = {
         SELECT * FROM (SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(max(abs(x)), 6) AS absmax FROM x),
         (SELECT round(min(norm), 6) AS norm_min, round(max(norm), 6) AS norm_max, round(avg(norm), 6) AS norm_mean, round(stddev_pop(norm), 6) AS norm_std FROM norms)""",
     "channel_stats": f"SELECT CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM ({_EACH.format('vec_id')}) GROUP BY pos",
-    "used_code_count": f"WITH {_CODED} SELECT count(*) AS used FROM uses WHERE uses > 0",
+    "used_code_count": f"WITH {CODED_SQL} SELECT count(*) AS used FROM uses WHERE uses > 0",
     "mean_pooling": f"SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM ({_EACH.format('label')}) GROUP BY label, pos",
     "hash_sample": "SELECT p_partkey FROM part ORDER BY md5(p_partkey || ':7'), p_partkey LIMIT 50",
     "strided_sample": """SELECT p_partkey, g AS global_idx FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS g, count(*) OVER () AS n FROM part)
         WHERE g IN (SELECT i * (SELECT count(*) FROM part) // 64 FROM range(64) r(i))""",
-    "position_codes": """SELECT CAST(p AS INTEGER) AS p, CAST(k AS INTEGER) AS pos, round(CASE WHEN k < 8 THEN sin(p / pow(10000e0, k / 8.0e0)) ELSE cos(p / pow(10000e0, (k - 8) / 8.0e0)) END, 8) AS x FROM range(8) a(p), range(16) b(k)""",
 }
+ORACLE_SQL["position_codes"] = """WITH axes AS (SELECT s_suppkey, k, CASE WHEN k < 8 THEN s_suppkey % 17 ELSE s_suppkey // 17 END AS p, k % 8 AS i FROM supplier, range(16) r(k))
+    SELECT s_suppkey, CAST(k AS INTEGER) AS pos, round(CASE WHEN i < 4 THEN sin(p / pow(10000e0, i / 4.0e0)) ELSE cos(p / pow(10000e0, (i - 4) / 4.0e0)) END, 8) AS x FROM axes"""
 ORACLE_SQL["knn_join"] = ORACLE_SQL["knn"]

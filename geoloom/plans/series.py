@@ -55,11 +55,6 @@ def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.manifest_totals(shard_manifest(spark, sf_dir))
 
 
-def sample_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.range(0, 1400, 7).select(F.col("id").alias("index"))
-    return shards.located(wanted, shard_manifest(spark, sf_dir))
-
-
 def sample_places_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sample whose number 100 divides; of these every tenth again, and for every fifth a negative number that no shard holds."""
     index = F.col("global_idx")
@@ -103,21 +98,28 @@ def collapse_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.guarded(_series(spark, sf_dir)).select("series", "step", "reasons", "bad_steps", "triggered")
 
 
+def user_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard over one series for each kind of event and user, so that series grow with the users."""
+    spike = F.when(F.col("event_id") % 11 < 3, 50.0).otherwise(1.0)
+    series = table(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("series"), F.col("event_id").alias("step"), ((1 + F.col("value") / 1000) * spike).alias("mag"), (1 + F.col("user_id") / 100_000).alias("phase"))
+    return metrics.guarded(series, 2, 3.0, 3.0, 2).select("series", "step", "reasons", "bad_steps", "triggered")
+
+
 def series_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
 
 
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learning rate factor and loss weight of each of 40 epochs."""
-    e = F.col("id").cast("double")
-    return spark.range(40).select(F.col("id").alias("epoch"), F.round(warm_cosine(e, 10, 40, 0.05), 8).alias("rate"), F.round(ramp(e, 0.25, 10, 5), 8).alias("beta"))
+    """Learning rate factor and loss weight of the epoch in which each order is trained on, one of 40."""
+    e = (F.col("o_orderkey") % 40).cast("double")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(warm_cosine(e, 10, 40, 0.05), 8).alias("rate"), F.round(ramp(e, 0.25, 10, 5), 8).alias("beta"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        modulo_split, hash_split, sample_ranks, row_batches, packed_shards, packed_orders, shard_manifest, manifest_totals, sample_places, pairing_faults, weighted_means, rank_means, best_values, metric_alerts,
-        collapse_guard, series_medians, schedules, sample_places_hundredths,
+        modulo_split, hash_split, sample_ranks, row_batches, packed_shards, packed_orders, shard_manifest, manifest_totals, pairing_faults, weighted_means, rank_means, best_values, metric_alerts,
+        collapse_guard, user_guard, series_medians, schedules, sample_places_hundredths,
     )
 }
 
@@ -125,7 +127,24 @@ _IDX = "(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS g FRO
 _PLACE = "CAST(('0x' || substr(md5(o_orderkey || ':3'), 1, 8)) AS BIGINT) / 4294967296.0e0"
 _MANIFEST = "manifest AS (SELECT s AS shard, n AS samples, n * 640 AS bytes, CAST(sum(n) OVER (ORDER BY s) - n AS BIGINT) AS start_index FROM (SELECT o_orderkey % 37 AS s, count(*) AS n FROM orders GROUP BY 1))"
 
+
+
+def _guard_sql(series: str, spike: str, steps: int, patience: int) -> str:
+    """The last good steps of each series as lists that go from step to step."""
+    over = lambda kept, v: f"(len({kept}) >= {steps} AND list_median({kept}) > 0 AND {v} / list_median({kept}) > 3)"
+    last = lambda kept, v: f"list_append({kept}, {v})[greatest(1, len({kept}) + 2 - {steps}):]"
+    return f"""WITH RECURSIVE rows AS (
+        SELECT *, row_number() OVER (PARTITION BY series ORDER BY step) AS i FROM (SELECT {series} AS series, event_id AS step, (1 + value / 1000) * CASE WHEN {spike} THEN 50.0e0 ELSE 1.0e0 END AS mag, 1 + user_id / 100000e0 AS phase FROM events)
+        ), walk AS (SELECT series, i, step, '' AS reasons, 0 AS bad, [mag] AS mags, [phase] AS phases FROM rows WHERE i = 1
+        UNION ALL SELECT series, i, step, reasons, CASE WHEN reasons = '' THEN 0 ELSE bad + 1 END, CASE WHEN reasons = '' THEN {last("mags", "mag")} ELSE mags END, CASE WHEN reasons = '' THEN {last("phases", "phase")} ELSE phases END
+        FROM (SELECT r.series, r.i, r.step, r.mag, r.phase, w.bad, w.mags, w.phases, concat_ws(',', CASE WHEN {over("w.mags", "r.mag")} THEN 'mag' END, CASE WHEN {over("w.phases", "r.phase")} THEN 'phase' END) AS reasons
+        FROM walk w JOIN rows r ON r.series = w.series AND r.i = w.i + 1))
+        SELECT series, step, reasons, bad AS bad_steps, reasons != '' AND bad >= {patience} AS triggered FROM walk"""
+
+
 ORACLE_SQL = {
+    "collapse_guard": _guard_sql("event_type", "event_id % 97 < 4", 20, 3),
+    "user_guard": _guard_sql("event_type || ':' || user_id", "event_id % 11 < 3", 2, 2),
     "modulo_split": f"SELECT o_orderkey, CASE WHEN g % 100 < 90 THEN 'train' ELSE 'val' END AS split FROM {_IDX}",
     "hash_split": f"SELECT o_orderkey, CASE WHEN {_PLACE} < 0.9e0 THEN 'train' WHEN {_PLACE} < 0.9e0 + 0.05e0 THEN 'val' ELSE 'test' END AS split FROM orders",
     "row_batches": f"SELECT g // 512 AS batch, count(*) AS n, min(o_orderkey) AS first_key FROM {_IDX} GROUP BY 1 HAVING count(*) = 512",
@@ -141,7 +160,6 @@ ORACLE_SQL = {
         SELECT place AS "at", size, CAST(shard AS INTEGER) AS shard FROM sized s ASOF JOIN walk w ON s.i >= w.i""",
     "shard_manifest": f"WITH {_MANIFEST} SELECT * FROM manifest",
     "manifest_totals": f"WITH {_MANIFEST} SELECT count(*) AS shards, CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(bytes) AS BIGINT) AS bytes, avg(samples) AS mean_samples FROM manifest",
-    "sample_places": f"WITH {_MANIFEST} SELECT i * 7 AS \"index\", shard, i * 7 - start_index AS \"local\" FROM range(200) r(i) JOIN manifest ON i * 7 >= start_index AND i * 7 < start_index + samples",
     "sample_places_hundredths": f"""WITH {_MANIFEST}, asked AS (SELECT g FROM {_IDX} WHERE g % 100 = 0 UNION ALL SELECT g FROM {_IDX} WHERE g % 1000 = 0 UNION ALL SELECT -1 - g FROM {_IDX} WHERE g % 500 = 0)
         SELECT g AS "index", shard, g - start_index AS "local" FROM asked JOIN manifest ON g >= start_index AND g < start_index + samples""",
     "pairing_faults": """SELECT doc_id, a AS n_left, b AS n_right FROM (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT doc_id, count(*) AS a FROM documents GROUP BY 1) d
@@ -155,6 +173,6 @@ ORACLE_SQL = {
         ), r AS (SELECT series, step, concat_ws(',', CASE WHEN step % 500 = 0 THEN 'interval' END, CASE WHEN active < 5 THEN 'low_active' END, CASE WHEN fall > 90 THEN 'drop' END, CASE WHEN share > 0.98 THEN 'top_share' END) AS reasons FROM d)
         SELECT * FROM r WHERE reasons != ''""",
     "series_medians": "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY 1",
-    "schedules": """SELECT i AS epoch, round(CASE WHEN i <= 10 THEN 0.05e0 + 0.95e0 * i / 10 ELSE 0.05e0 + 0.475e0 * (1 + cos(pi() * (i - 10) / 30)) END, 8) AS rate,
-        round(CASE WHEN i < 10 THEN 0 ELSE 0.25e0 * least(1, (i - 10) / 5.0e0) END, 8) AS beta FROM range(40) r(i)""",
+    "schedules": """SELECT o_orderkey, round(CASE WHEN i <= 10 THEN 0.05e0 + 0.95e0 * i / 10 ELSE 0.05e0 + 0.475e0 * (1 + cos(pi() * (i - 10) / 30)) END, 8) AS rate,
+        round(CASE WHEN i < 10 THEN 0 ELSE 0.25e0 * least(1, (i - 10) / 5.0e0) END, 8) AS beta FROM (SELECT o_orderkey, o_orderkey % 40 AS i FROM orders)""",
 }

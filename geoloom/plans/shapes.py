@@ -70,12 +70,6 @@ def quality_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.quality_counters(shapes, geometry.triangulate(shapes)).drop("triangles")
 
 
-def augmented_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of three copies is the polygon as it is."""
-    made = geometry.augmented(triangles(spark, sf_dir), 3)
-    return made.where("repeat = 0").groupBy("gid").agg(F.round(F.sum(geometry.triangle_area()), 8).alias("area"))
-
-
 def augmented_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The areas of all three copies of each polygon, the turned, scaled and moved ones included."""
     made = geometry.augmented(triangles(spark, sf_dir), 3)
@@ -83,8 +77,11 @@ def augmented_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequency_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = fourier.frequency_grid(spark, FREQUENCIES, 4)
-    return g.select("u_idx", "v_idx", *[F.round(c, 8).alias(c) for c in ("u", "v", "du", "dv")], "valid")
+    """Of each polygon: valid cells of the padded grid, their spans, and the energy over them."""
+    g = fourier.frequency_grid(spark, FREQUENCIES, 4).where("valid")
+    s = fourier.spectra(triangles(spark, sf_dir), g).join(F.broadcast(g), ["u_idx", "v_idx"])
+    span = F.col("du") * F.col("dv")
+    return s.groupBy("gid").agg(F.count("*").alias("cells"), F.round(F.sum(span), 6).alias("span"), F.round(F.sum(span * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))), 6).alias("energy"))
 
 
 def polygon_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,17 +109,20 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fourier.span_weights(_grid(spark)).withColumn("weight", F.round("weight", 8))
+    """Each polygon's mean magnitude, with cells weighed by their spans."""
+    g = _grid(spark)
+    s = fourier.spectra(triangles(spark, sf_dir), g).join(F.broadcast(fourier.span_weights(g)), ["u_idx", "v_idx"])
+    return s.groupBy("gid").agg(F.round(F.avg(F.col("weight") * F.hypot("re", "im")), 7).alias("mag"))
 
 
-def _occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.occupied(triangles(spark, sf_dir), fourier.pixels(spark, 16))
+def _shifted(spark: SparkSession) -> DataFrame:
+    """Points of a grid that lie off all edges."""
+    return fourier.pixels(spark, 16).withColumns({"x": F.col("x") + 0.0131, "y": F.col("y") + 0.0077})
 
 
 def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of a grid in each polygon; points on an edge are left to either side by keeping the grid off them."""
-    shifted = fourier.pixels(spark, 16).withColumns({"x": F.col("x") + 0.0131, "y": F.col("y") + 0.0077})
-    return raster.occupied(triangles(spark, sf_dir), shifted).groupBy("gid").agg(F.sum("occupied").alias("inside"), F.count("*").alias("points"))
+    return raster.occupied(triangles(spark, sf_dir), _shifted(spark)).groupBy("gid").agg(F.sum("occupied").alias("inside"), F.count("*").alias("points"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,15 +167,15 @@ def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of 8 by 8 at twice the size, then cut at one half."""
-    small = _occupied(spark, sf_dir).where("px % 2 = 0 and py % 2 = 0").select("gid", (F.col("py") / 2).cast("int").alias("py"), (F.col("px") / 2).cast("int").alias("px"), F.col("occupied").cast("double").alias("value"))
-    return raster.resized(small, 16).groupBy("gid").agg(F.round(F.sum("value"), 6).alias("total"), F.count_if(F.col("value") > 0.5).alias("inside"))
+    """Images of 16 by 16 at twice the size, then cut at one half."""
+    small = raster.occupied(triangles(spark, sf_dir), _shifted(spark)).select("gid", "py", "px", F.col("occupied").cast("double").alias("value"))
+    return raster.resized(small, 32).groupBy("gid").agg(F.round(F.sum("value"), 6).alias("total"), F.count_if(F.col("value") >= 0.5).alias("inside"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        triangle_areas, polygon_areas, polygon_profiles, polygon_meta, normalised_boxes, clean_rings, shortest_edges, triangulated_areas, degenerate_counts, quality_counters, augmented_areas, augmented_copies,
+        triangle_areas, polygon_areas, polygon_profiles, polygon_meta, normalised_boxes, clean_rings, shortest_edges, triangulated_areas, degenerate_counts, quality_counters, augmented_copies,
         frequency_grid, polygon_spectra, spectrum_channels, spectrum_products, rasters, span_weights, occupancy, iou, image_metrics, overlap_losses, masked_losses, image_sizes, sampled_points, resized_images,
     )
 }
@@ -231,16 +231,12 @@ ORACLE_SQL = {
     "degenerate_counts": f"WITH {_BASE} SELECT gid, k AS kept, k AS small_area, k AS small_height FROM poly",
     "quality_counters": f"""WITH {_BASE} SELECT count(*) AS rows, CAST(sum(1 + CAST(gid % 7 = 0 AS INTEGER)) AS BIGINT) AS parts, count(*) FILTER (WHERE gid % 4 = 0) AS holes, CAST(max(CAST(gid % 4 = 0 AS INTEGER)) AS INTEGER) AS most_holes,
         count(*) FILTER (WHERE gid % 4 = 0) AS parts_with_holes, count(*) FILTER (WHERE gid % 7 = 0) AS risky_rows, 0 AS failed_rows, 0 AS small_area, 0 AS small_height FROM poly""",
-    "augmented_areas": f"WITH {TRIANGLES_SQL} SELECT gid, round(k * q * q * sin(2 * pi() / k) / 2, 8) AS area FROM shapes",
-    "frequency_grid": f"""WITH {_GRID} SELECT a AS u_idx, b AS v_idx, round(u, 8) AS u, round(v, 8) AS v, round(du, 8) AS du, round(dv, 8) AS dv, u IS NOT NULL AND v IS NOT NULL AS valid
-        FROM range(12) x(a) CROSS JOIN range(8) y(b) LEFT JOIN us ON u_idx = a LEFT JOIN vs ON v_idx = b""",
     "polygon_spectra": f"WITH {_SPECTRUM} SELECT gid, u_idx, v_idx, round(re, 6) AS re, round(im, 6) AS im FROM spectrum",
     "spectrum_channels": f"WITH {_SPECTRUM} SELECT gid, round(sum(ln(1 + sqrt(re * re + im * im))), 5) AS mag, round(sum(re * re + im * im), 5) AS energy FROM spectrum GROUP BY gid",
     "spectrum_products": f"WITH {_SPECTRUM} SELECT gid, round(sum(re * re - im * im), 5) AS re, round(sum(2 * re * im), 5) AS im FROM spectrum GROUP BY gid",
     "rasters": f"""WITH {_SPECTRUM}, px AS (SELECT a AS py, b AS px, -1 + 2.0e0 * b / 7 AS x, 1 - 2.0e0 * a / 7 AS y FROM range(8) i(a), range(8) j(b)
         ), f AS (SELECT gid, py, px, sum(du * dv * CASE WHEN v > 1e-6 THEN 2 ELSE 1 END * (re * cos(2 * pi() * (u * x + v * y)) - im * sin(2 * pi() * (u * x + v * y)))) AS f FROM spectrum JOIN us USING (u_idx) JOIN vs USING (v_idx), px GROUP BY gid, py, px)
         SELECT gid, py, px, round((f - min(f) OVER (PARTITION BY gid)) / (max(f) OVER (PARTITION BY gid) - min(f) OVER (PARTITION BY gid) + 1e-8), 4) AS value FROM f""",
-    "span_weights": f"WITH {_GRID} SELECT u_idx, v_idx, round(sqrt(du * dv) / (avg(sqrt(du * dv)) OVER () + 1e-8), 8) AS weight FROM us, vs",
     "occupancy": f"""WITH {TRIANGLES_SQL}, px AS (SELECT i, -1 + 2.0e0 * (i % 16) / 15 + 0.0131e0 AS x, 1 - 2.0e0 * (i // 16) / 15 + 0.0077e0 AS y FROM range(256) r(i)
         ), hit AS (SELECT gid, i, max(CAST({_INSIDE.format(x="x", y="y")} AS INTEGER)) AS o FROM triangles, px GROUP BY gid, i) SELECT gid, CAST(sum(o) AS BIGINT) AS inside, count(*) AS points FROM hit GROUP BY gid""",
     "iou": f"""WITH {_PAIRS}, b AS (SELECT user_id, CAST(pred > 0.5 AS INTEGER) AS p, target AS t FROM pairs)
@@ -252,4 +248,13 @@ ORACLE_SQL = {
     "masked_losses": f"""WITH {_PAIRS}, c AS (SELECT CAST(user_id % 2 = 0 AS INTEGER) AS m, pred + 0.5e0 AS w, abs(pred - target) AS d, abs(pred - blurred) + abs(blurred - target) AS e FROM pairs)
         SELECT round(sum(d * m) / greatest(sum(m), 1) + 0.5e0 * sum(d * w * m) / greatest(sum(m), 1), 7) AS mag_loss, round(sum(e * m) / greatest(sum(m), 1), 7) AS phase_loss FROM c""",
     "image_sizes": f"WITH {_POINTS} SELECT gid, CAST(ceil(greatest(x1 - x0, y1 - y0) / 1000 * 118000 / 5) AS INTEGER) AS pixels FROM box",
+    "frequency_grid": f"""WITH {_SPECTRUM} SELECT gid, count(*) AS cells, round(sum(du * dv), 6) AS span, round(sum(du * dv * (re * re + im * im)), 6) AS energy FROM spectrum JOIN us USING (u_idx) JOIN vs USING (v_idx) GROUP BY gid""",
+    "span_weights": f"""WITH {_SPECTRUM}, w AS (SELECT u_idx, v_idx, sqrt(du * dv) / (avg(sqrt(du * dv)) OVER () + 1e-8) AS weight FROM us, vs)
+        SELECT gid, round(avg(weight * sqrt(re * re + im * im)), 7) AS mag FROM spectrum JOIN w USING (u_idx, v_idx) GROUP BY gid""",
+    "resized_images": f"""WITH {TRIANGLES_SQL}, px AS (SELECT i, -1 + 2.0e0 * (i % 16) / 15 + 0.0131e0 AS x, 1 - 2.0e0 * (i // 16) / 15 + 0.0077e0 AS y FROM range(256) r(i)
+        ), hit AS (SELECT gid, i // 16 AS py, i % 16 AS px, max(CAST({_INSIDE.format(x="x", y="y")} AS INTEGER)) AS o FROM triangles, px GROUP BY gid, i
+        ), at_ AS (SELECT p, CAST(floor(f) AS INTEGER) AS low, least(CAST(floor(f) AS INTEGER) + 1, 15) AS high, f - floor(f) AS part FROM (SELECT p, greatest(0, least((p + 0.5e0) * 16 / 32 - 0.5e0, 15)) AS f FROM range(32) r(p))
+        ), tap AS (SELECT p, low AS q, 1 - part AS w FROM at_ UNION ALL SELECT p, high, part FROM at_
+        ), big AS (SELECT gid, y.p AS py, x.p AS px, sum(y.w * x.w * o) AS value FROM hit JOIN tap y ON y.q = hit.py JOIN tap x ON x.q = hit.px GROUP BY gid, y.p, x.p)
+        SELECT gid, round(sum(value), 6) AS total, count(*) FILTER (WHERE value >= 0.5) AS inside FROM big GROUP BY gid""",
 }

@@ -361,6 +361,6 @@ def test_augmented_copies_equal_brute_force(spark):
 
 def test_all_augmented_copies_are_returned(spark, sf_dir):
     got = {(r.gid, r.repeat): r.area for r in shapes.augmented_copies(spark, sf_dir).collect()}
-    first = {r.gid: r.area for r in shapes.augmented_areas(spark, sf_dir).collect()}
+    first = {r.gid: r.area for r in shapes.triangle_areas(spark, sf_dir).collect()}
     assert set(got) == {(g, k) for g in first for k in range(3)}
     assert all(got[g, 0] == a and got[g, 1] != a and got[g, 2] != a for g, a in first.items())
