@@ -100,6 +100,20 @@ def run_counters(rows: DataFrame, triangles: DataFrame, key: str = "gid") -> Dat
     )
 
 
+def failure_records(rows: DataFrame, triangles: DataFrame, layer: str, key: str = "gid") -> DataFrame:
+    """What a log has of each feature that gave no triangles: layer, key, geom_type, parts, holes, points, error."""
+    said = rows.select(key, geometry.profile(F.col("parts")).alias("p"), F.size(F.flatten(F.flatten("parts"))).alias("points"))
+    failed = triangles.where("error is not null").select(F.col(key).alias("__of"), "error")
+    kind = F.when(F.col("p.parts") == 1, "Polygon").otherwise("MultiPolygon")
+    return said.join(failed, F.col(key) == F.col("__of")).select(F.lit(layer).alias("layer"), key, kind.alias("geom_type"), F.col("p.parts").alias("parts"), F.col("p.holes").alias("holes"), "points", "error")
+
+
+def write_failures(records: DataFrame, folder: str) -> int:
+    """Writes failure records as lines of JSON to a new folder, and says how many there are."""
+    records.write.mode("errorifexists").json(folder)
+    return records.sparkSession.read.schema(records.schema).json(folder).count()
+
+
 def batch_perplexity(codes: DataFrame, batch: str) -> DataFrame:
     """Of each level: batches, the mean of their perplexities, and the perplexity of all codes together; codes(level, code, batch)."""
 

@@ -29,13 +29,14 @@ def best_so_far(rows: DataFrame, series: str, order: list[str], value: str, leas
     return rows.withColumns({"best": best(value).over(upto.rowsBetween(Window.unboundedPreceding, 0)), "improved": F.coalesce(better, F.lit(True))})
 
 
-def alerts(rows: DataFrame, series: str, step: str, active: str, share: str, every: int, least_active: float, drop: float, most_share: float) -> DataFrame:
-    """rows with the reasons to report a step: its turn, few active codes, fewer than before by `drop`, one code's share too large."""
+def alerts(rows: DataFrame, series: str, step: str, active: str, share: str, every: int, least_active: float, drop: float, most_share: float, restarted: str | None = None) -> DataFrame:
+    """rows with the reasons to report a step: its turn, few active codes, fewer than before by `drop`, one code's share too large, codes restarted."""
     before = F.lag(active).over(Window.partitionBy(series).orderBy(step))
     reasons = F.array_compact(
         F.array(
             F.when(F.pmod(F.col(step), F.lit(every)) == 0, "interval"), F.when(F.col(active) < least_active, "low_active"),
             F.when(before - F.col(active) > drop, "drop"), F.when(F.col(share) > most_share, "top_share"),
+            F.when(F.col(restarted) > 0, "restart") if restarted else F.lit(None).cast("string"),
         )
     )
     return rows.withColumn("reasons", F.array_join(reasons, ","))

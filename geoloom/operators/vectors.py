@@ -300,5 +300,7 @@ def strided_sample(indexed: DataFrame, m: int, index: str = "global_idx") -> Dat
 
 def exact_nearest(rows: DataFrame, codebook: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """As one level of `encode`, in SQL expressions only; for small codebooks and for comparison."""
+    if (n := codebook.count()) > MOST_CODES:
+        raise ValueError(f"{n} codes; at most {MOST_CODES} go to every task")
     every = rows.select(key, F.col(vector).alias("v")).join(F.broadcast(codebook))
     return every.groupBy(key).agg(F.min(F.struct(squared_distance(F.col("v"), F.col("vec")).alias("d2"), "code")).alias("b")).select(key, F.col("b.code").alias("code"), F.col("b.d2").alias("d2"))

@@ -27,12 +27,23 @@ def alignment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.alignment_faults(named, "key")
 
 
+def _some_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All polygons, every ninth of which is a line."""
+    line = F.transform("parts", lambda p: F.transform(p, lambda r: F.transform(r, lambda c: F.struct(c["x"].alias("x"), c["x"].alias("y")))))
+    return polygons(spark, sf_dir).select("gid", F.when(F.col("gid") % 9 == 5, line).otherwise(F.col("parts")).alias("parts"))
+
+
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run over all polygons, every ninth of which is a line."""
-    shapes = polygons(spark, sf_dir).select("gid", F.when(F.col("gid") % 9 == 5, F.transform("parts", lambda p: F.transform(p, lambda r: F.transform(r, lambda c: F.struct(c["x"].alias("x"), c["x"].alias("y")))))).otherwise(F.col("parts")).alias("parts"))
+    shapes = _some_lines(spark, sf_dir)
     return checks.run_counters(shapes, geometry.triangulate(shapes))
 
 
+def failure_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of that run that gave no triangles."""
+    shapes = _some_lines(spark, sf_dir)
+    return checks.failure_records(shapes, geometry.triangulate(shapes), "supplier").drop("error")
+
+
 def batch_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How evenly codes are used within batches of 100 vectors, and in all."""
     codes = vectors.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), codebook(spark, sf_dir))
@@ -52,7 +63,7 @@ def padded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", checks.display_width(name).alias("width"), F.concat(checks.padded(name, 26), F.lit("|")).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (index_faults, alignment_faults, run_counters, batch_perplexity, mixed_layers, padded_names)}
+QUERIES = {f.__name__: f for f in (index_faults, alignment_faults, run_counters, failure_records, batch_perplexity, mixed_layers, padded_names)}
 
 _COLUMNS = ("gid", "status", "flag", "amount", "priority", "segment", "brand", "type", "price")
 _FILLED = {
@@ -73,6 +84,8 @@ ORACLE_SQL = {
         SELECT count(*) AS total_rows, CAST(sum(n) AS BIGINT) AS triangles, count(*) FILTER (WHERE n > 0) AS triangulated_rows, 0 AS degenerate_rows, 0 AS degenerate_triangles, 0 AS dropped_rows, count(*) FILTER (WHERE line) AS failed_rows,
         count(*) FILTER (WHERE risky) AS isolated_rows, count(*) FILTER (WHERE multi) AS multipolygon_rows, count(*) FILTER (WHERE holed) AS hole_rows, count(*) FILTER (WHERE multi AND n > 0) AS triangulated_multipolygon_rows,
         count(*) FILTER (WHERE holed AND n > 0) AS triangulated_hole_rows, count(*) FILTER (WHERE multi AND line) AS dropped_multipolygon_rows, count(*) FILTER (WHERE holed AND line) AS dropped_hole_rows FROM t""",
+    "failure_records": """SELECT 'supplier' AS layer, s_suppkey AS gid, CASE WHEN s_suppkey % 7 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geom_type, CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 1 END AS parts,
+        CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS holes, CAST((3 + s_suppkey % 6) * (1 + CAST(s_suppkey % 4 = 0 AS INTEGER) + CAST(s_suppkey % 7 = 0 AS INTEGER)) AS INTEGER) AS points FROM supplier WHERE s_suppkey % 9 = 5""",
     "batch_perplexity": f"""WITH {CODED_SQL}, c AS (SELECT level, vec_id // 100 AS batch, code, count(*) AS uses FROM codes GROUP BY ALL
         ), b AS (SELECT level, batch, exp(ln(sum(uses)) - sum(uses * ln(uses)) / sum(uses)) AS p FROM c GROUP BY ALL
         ), g AS (SELECT level, exp(ln(sum(uses)) - sum(uses * ln(uses)) / sum(uses)) AS p FROM (SELECT level, code, sum(uses) AS uses FROM c GROUP BY ALL) GROUP BY level)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions.columns import grid_position_code
-from geoloom.operators import checks, fourier, raster, shards, store, vectors
+from geoloom.operators import checks, fourier, geometry, metrics, raster, shards, store, vectors
 from geoloom.plans import attributes
 
 
@@ -135,3 +135,19 @@ def test_large_codebooks_are_joined(spark, monkeypatch):
     monkeypatch.setattr(vectors, "MOST_CODES", 3)
     large = sorted((r.vec_id, r.embedding) for r in vectors.decode(codes, book).collect())
     assert small == large == [(1, [1.0, 6.0]), (2, [1.0, 1.0])]
+
+
+def test_failures_are_logged(spark, tmp_path):
+    ring = lambda *p: [(float(x), float(y)) for x, y in p]
+    square, flat = ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((0, 0), (1, 1), (2, 2))
+    bow = ring((0, 0), (2, 2), (2, 0), (0, 2))
+    rows = spark.createDataFrame([(1, [[square]]), (2, [[flat]]), (3, [[bow], [flat]]), (4, [])], f"gid long, parts {geometry.PARTS}")
+    records = checks.failure_records(rows, geometry.triangulate(rows), "layer")
+    assert {(r.gid, r.geom_type, r.parts, r.points) for r in records.collect()} == {(2, "Polygon", 1, 3), (3, "MultiPolygon", 2, 7), (4, "MultiPolygon", 0, 0)}
+    assert all(r.error for r in records.collect()) and checks.write_failures(records, str(tmp_path / "log")) == 3
+
+
+def test_restarts_are_reported(spark):
+    rows = spark.createDataFrame([("a", k, 50, 0.1, int(k == 2)) for k in range(1, 4)], "s string, step long, active long, share double, restarted long")
+    made = metrics.alerts(rows, "s", "step", "active", "share", 100, 5, 90, 0.98, "restarted").orderBy("step").collect()
+    assert [r.reasons for r in made] == ["", "restart", ""]
