@@ -221,6 +221,27 @@ ORACLE_SQL = {
     "strided_sample": """SELECT p_partkey, g AS global_idx FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS g, count(*) OVER () AS n FROM part)
         WHERE g IN (SELECT i * (SELECT count(*) FROM part) // 64 FROM range(64) r(i))""",
 }
+
+
+def _lloyd_sql(rows: str, mark: str, n_codes: int, rounds: int) -> str:
+    """Rounds of nearest codes and their means over rows(vec_id, v), from the first n_codes of them: books <mark>0 to <mark><rounds> of (code, vec). No code is left without a vector here."""
+    parts = [f"{mark}0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS code, v AS vec FROM {rows} ORDER BY vec_id LIMIT {n_codes})"]
+    for k in range(rounds):
+        parts.append(f"{mark}a{k} AS (SELECT vec_id, any_value(v) AS v, min((d, code)) AS b FROM (SELECT vec_id, v, code, {_D2.format('v', 'vec')} AS d FROM {rows}, {mark}{k}) GROUP BY vec_id)")
+        parts.append(f"{mark}{k + 1} AS (SELECT code, list(x ORDER BY pos) AS vec FROM (SELECT code, pos, avg(x) AS x FROM (SELECT b[2] AS code, unnest(range(len(v))) AS pos, unnest(v) AS x FROM {mark}a{k}) GROUP BY code, pos) GROUP BY code)")
+    return ", ".join(parts)
+
+
+def _left_sql(rows: str, book: str, name: str) -> str:
+    """What rows(vec_id, v) have left after their nearest code, and its squared length: <name>(vec_id, v, d)."""
+    return f"""{name}n AS (SELECT vec_id, any_value(v) AS v, min((d, code)) AS b FROM (SELECT vec_id, v, code, {_D2.format('v', 'vec')} AS d FROM {rows}, {book}) GROUP BY vec_id
+    ), {name} AS (SELECT vec_id, list_transform(list_zip(n.v, k.vec), lambda z: z[1] - z[2]) AS v, n.b[1] AS d FROM {name}n n JOIN {book} k ON k.code = n.b[2])"""
+
+
+_ROWS = "vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+ORACLE_SQL["kmeans_codes"] = f"WITH {_ROWS}, {_lloyd_sql('vectors', 'k', 16, 2)} SELECT code, CAST(unnest(range(len(vec))) AS INTEGER) AS pos, round(unnest(vec), 5) AS x FROM k2"
+ORACLE_SQL["residual_kmeans_error"] = f"""WITH {_ROWS}, {_lloyd_sql('vectors', 'k', 16, 3)}, {_left_sql('vectors', 'k3', 'rest')}, {_lloyd_sql('rest', 'j', 16, 3)}, {_left_sql('rest', 'j3', 'last')}
+    SELECT 0 AS level, round(avg(d), 4) AS error FROM rest UNION ALL SELECT 1, round(avg(d), 4) FROM last"""
 ORACLE_SQL["position_codes"] = """WITH axes AS (SELECT s_suppkey, k, CASE WHEN k < 8 THEN s_suppkey % 17 ELSE s_suppkey // 17 END AS p, k % 8 AS i FROM supplier, range(16) r(k))
     SELECT s_suppkey, CAST(k AS INTEGER) AS pos, round(CASE WHEN i < 4 THEN sin(p / pow(10000e0, i / 4.0e0)) ELSE cos(p / pow(10000e0, (i - 4) / 4.0e0)) END, 8) AS x FROM axes"""
 ORACLE_SQL["knn_join"] = ORACLE_SQL["knn"]
