@@ -1,6 +1,7 @@
 """The collapse guard over late rows."""
 
 import datetime
+import os
 import random
 
 import pandas as pd
@@ -23,8 +24,6 @@ def test_late_rows_are_judged_in_order(spark, tmp_path):
     src.mkdir()
     for k, batch in enumerate(batches):
         pd.DataFrame(batch, columns=["series", "step", "ts", "mag", "phase"]).astype({"ts": "datetime64[us, UTC]"}).to_parquet(src / f"b{k}.parquet")
-        import os
-
         os.utime(src / f"b{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
     schema = "series string, step long, ts timestamp, mag double, phase double"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
