@@ -189,3 +189,17 @@ def test_structural_losses(spark):
             assert r.spectral_loss == pytest.approx(np.abs(np.fft.rfft2(x) - np.fft.rfft2(y)).mean())
     same = images.structural_losses(arrays, "k", "p", "p").where("ssim_loss is not null").collect()
     assert all(abs(r.ssim_loss) < 1e-12 and r.spectral_loss == 0 for r in same)
+
+
+def test_pairs_of_many_blocks(spark, monkeypatch):
+    """Every cell of several blocks, points on borders and one above another included."""
+    for name, most in (("POINTS", 16), ("EDGES", 8), ("SAMPLE", 300)):
+        monkeypatch.setattr(shapes, name, most)
+    square = lambda x, y, a: [(x, y), (x + a, y), (x + a, y + a), (x, y + a)]
+    rows = [(k, [[square(k % 3 + 0.0, k % 4 + 0.0, 2.0), square(k % 3 + 0.5, k % 4 + 0.5, 1.0)], [square(k % 3 + 5.0, k % 4 + 0.0, 1.0)]]) for k in range(60)]
+    spots = [(k, (k * 7 % 40) / 4, (k * 11 % 24) / 4) for k in range(500)] + [(1000 + k, 1.25, 1.25) for k in range(100)]
+    polygons, points = spark.createDataFrame(rows, f"gid long, parts {PARTS}"), spark.createDataFrame(spots, "pid long, x double, y double")
+    got = [tuple(r) for r in shapes.points_in_polygons(points, polygons).collect()]
+    want = {(p, g) for p, x, y in spots for g, parts in rows if sum(in_ring((x, y), np.array(r)) for part in parts for r in part) % 2}
+    assert len(got) == len(want) and set(got) == want
+    assert any(p < 500 and spots[p][1] == g % 3 for p, g in want)
