@@ -2,11 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from geoloom.operators import delaunay, geometry, images, shapes
+from geoloom.plans import regions
 
 PARTS = geometry.PARTS
 
@@ -203,3 +205,12 @@ def test_pairs_of_many_blocks(spark, monkeypatch):
     want = {(p, g) for p, x, y in spots for g, parts in rows if sum(in_ring((x, y), np.array(r)) for part in parts for r in part) % 2}
     assert len(got) == len(want) and set(got) == want
     assert any(p < 500 and spots[p][1] == g % 3 for p, g in want)
+
+
+def test_equal_polygons_of_two_suppliers(spark, tmp_path):
+    """Suppliers 1 and 18565 have the same polygon; each keeps its own row, as the SQL has it."""
+    spark.createDataFrame([(1, 4), (2, 4), (18565, 4), (18567, 9)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = regions.distinct_shapes(spark, str(tmp_path)).select("gid", "copies", "bytes").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(regions.ORACLE_SQL["distinct_shapes"]).fetchall())
