@@ -17,6 +17,8 @@ from geoloom.operators.lineage import written
 EPSILON = 1e-6
 #: Triangles of a polygon that meet in one row.
 BLOCK = 65_536
+#: Triangles or polygons times frequencies that a task works on at once: a dozen arrays of 16 bytes a cell.
+MOST_CELLS = 250_000
 
 
 def frequencies(least: float, most: float, n: int, geometric: bool = True) -> list[float]:
@@ -79,7 +81,16 @@ def _summed(t: np.ndarray, counts: np.ndarray, u: np.ndarray, v: np.ndarray, ste
     return out
 
 
-def spectra(triangles: DataFrame, grid: DataFrame, key: str = "gid", most_cells: int = 2_000_000, block: int = BLOCK) -> DataFrame:
+def triangle_blocks(triangles: DataFrame, key: str = "gid", block: int = BLOCK) -> DataFrame:
+    """Triangles(key, ax..cy) as rows of up to `block` of a polygon, by tri_no where there is one: k, b, t, the corners end to end. A triangle with a missing corner is in none of them."""
+    corners = F.array(*[F.col(c).cast("double") for c in ("ax", "ay", "bx", "by", "cx", "cy")])
+    whole = F.when(F.forall(corners, lambda c: c.isNotNull()), corners)
+    numbered = triangles.withColumn("__block", F.floor(F.col("tri_no") / block) if "tri_no" in triangles.columns else F.lit(0).cast("long"))
+    # Triangles may be costly to come by, and the blocks are looked at twice.
+    return written(numbered.groupBy(F.col(key).alias("k"), F.coalesce("__block", F.lit(0)).alias("b")).agg(F.flatten(F.collect_list(whole)).alias("t")), "polygon-blocks")
+
+
+def spectra(triangles: DataFrame, grid: DataFrame, key: str = "gid", most_cells: int = MOST_CELLS, block: int = BLOCK) -> DataFrame:
     """The transform of each polygon, the sum over its triangles: key, u_idx, v_idx, re, im. Padding is left out.
 
     Blocks of a polygon's triangles meet in one row, by tri_no where there is
@@ -94,18 +105,13 @@ def spectra(triangles: DataFrame, grid: DataFrame, key: str = "gid", most_cells:
 
     def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts = np.array([len(t) // 6 for t in pdf["t"]], np.int64)
-            if not len(counts):
-                continue
-            s = _summed(np.concatenate([np.asarray(t, float) for t in pdf["t"]]).reshape(-1, 6), counts, u, v, step)
-            n = len(counts)
-            yield pd.DataFrame({"k": pdf["k"].repeat(len(u)).array, "u_idx": np.tile(cells["u_idx"], n), "v_idx": np.tile(cells["v_idx"], n), "re": s.real.ravel(), "im": s.imag.ravel()})
+            for i in range(0, len(pdf), step):
+                some = pdf.iloc[i : i + step]
+                n, counts = len(some), np.array([len(t) // 6 for t in some["t"]], np.int64)
+                s = _summed(np.concatenate([np.asarray(t, float) for t in some["t"]]).reshape(-1, 6), counts, u, v, step)
+                yield pd.DataFrame({"k": some["k"].repeat(len(u)).array, "u_idx": np.tile(cells["u_idx"], n), "v_idx": np.tile(cells["v_idx"], n), "re": s.real.ravel(), "im": s.imag.ravel()})
 
-    corners = F.array(*[F.col(c).cast("double") for c in ("ax", "ay", "bx", "by", "cx", "cy")])
-    numbered = triangles.where(corners[0].isNotNull()).withColumn("__block", F.floor(F.col("tri_no") / block) if "tri_no" in triangles.columns else F.lit(0).cast("long"))
-    polygons = numbered.groupBy(F.col(key).alias("k"), F.coalesce("__block", F.lit(0)).alias("b")).agg(F.flatten(F.collect_list(corners)).alias("t"))
-    # Triangles may be costly to come by, and the blocks are looked at twice.
-    polygons = written(polygons, "polygon-blocks")
+    polygons = triangle_blocks(triangles.where("ax is not null"), key, block)
     kind = polygons.schema["k"].dataType.simpleString()
     made = polygons.select("k", "t").mapInPandas(transform, f"k {kind}, u_idx int, v_idx int, re double, im double").withColumnRenamed("k", key)
     if polygons.where("b > 0").isEmpty():

@@ -91,10 +91,9 @@ def polygon_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spectrum_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log magnitudes, and back to the spectrum's energy."""
-    s = fourier.spectra(triangles(spark, sf_dir), _grid(spark))
-    back = fourier.from_image(fourier.channels(s))
-    mags = fourier.channels(s).groupBy("gid").agg(F.round(F.sum("mag"), 5).alias("mag"))
-    return mags.join(back.groupBy("gid").agg(F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 5).alias("energy")), "gid")
+    image = fourier.channels(fourier.spectra(triangles(spark, sf_dir), _grid(spark)))
+    back = fourier.from_image(image.withColumn("log", F.col("mag")))
+    return back.groupBy("gid").agg(F.round(F.sum("log"), 5).alias("mag"), F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 5).alias("energy"))
 
 
 def spectrum_products(spark: SparkSession, sf_dir: str) -> DataFrame:
