@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.fourier import triangle_blocks
+
 SMOOTH = 1e-6
+#: Triangles or polygons times points that a task works on at once.
+MOST_CELLS = 1_000_000
 
 
 def in_triangle(x: Column, y: Column) -> Column:
@@ -17,13 +25,52 @@ def in_triangle(x: Column, y: Column) -> Column:
     return ~(((d1 < 0) | (d2 < 0) | (d3 < 0)) & ((d1 > 0) | (d2 > 0) | (d3 > 0)))
 
 
-def occupied(triangles: DataFrame, points: DataFrame, key: str = "gid") -> DataFrame:
-    """Points (py, px, x, y) of each polygon with 1 inside and 0 outside: key, py, px, occupied.
+def _held(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points lie in which of the triangles t[n, 6], as in_triangle has it: [n, points]."""
+    ax, ay, bx, by, cx, cy = (t[:, i, None] for i in range(6))
+    low, high = np.zeros((len(t), len(x)), bool), np.zeros((len(t), len(x)), bool)
+    for px, py, qx, qy in ((ax, ay, bx, by), (bx, by, cx, cy), (cx, cy, ax, ay)):
+        d = (x - qx) * (py - qy) - (px - qx) * (y - qy)
+        low |= d < 0
+        # Spark counts NaN as above all numbers.
+        high |= ~(d <= 0)
+    return ~(low & high)
+
+
+def occupied(triangles: DataFrame, points: DataFrame, key: str = "gid", most_cells: int = MOST_CELLS) -> DataFrame:
+    """Points (py, px, x, y) of each polygon with 1 inside and 0 outside: key, py, px, occupied; null where no triangle is whole.
 
-    The grid is small and goes to every task; hits are combined before the shuffle.
+    The grid is small and goes to every task. Triangles of a polygon meet in
+    one row, and a task works through rows by about most_cells triangles or
+    polygons times points, so that no cells are shuffled or gathered. Only
+    polygons of several blocks are combined after that.
     """
-    each = triangles.join(F.broadcast(points))
-    return each.groupBy(key, "py", "px").agg(F.max(in_triangle(F.col("x"), F.col("y")).cast("int")).alias("occupied"))
+    grid = points.select("py", "px", "x", "y").toPandas()
+    x, y = grid["x"].to_numpy(float), grid["y"].to_numpy(float)
+    step = max(1, most_cells // max(1, len(grid)))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), step):
+                some = pdf.iloc[i : i + step]
+                counts = np.array([len(t) // 6 for t in some["t"]], np.int64)
+                t, owner = np.concatenate([np.asarray(t, float) for t in some["t"]]).reshape(-1, 6), np.repeat(np.arange(len(some)), counts)
+                inside = np.zeros((len(some), len(grid)), bool)
+                for j in range(0, len(t), step):
+                    own = owner[j : j + step]
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    # A polygon may go on in the next step.
+                    inside[own[first]] |= np.logical_or.reduceat(_held(t[j : j + step], x, y), first, axis=0)
+                made = pd.Series(inside.ravel(), dtype="Int32")
+                made[np.repeat(counts == 0, len(grid))] = pd.NA
+                yield pd.DataFrame({"k": some["k"].repeat(len(grid)).array, "py": np.tile(grid["py"], len(some)), "px": np.tile(grid["px"], len(some)), "occupied": made})
+
+    blocks = triangle_blocks(triangles, key)
+    kind = blocks.schema["k"].dataType.simpleString()
+    each = blocks.select("k", "t").mapInPandas(fill, f"k {kind}, py int, px int, occupied int").withColumnRenamed("k", key)
+    if blocks.where("b > 0").isEmpty():
+        return each
+    return each.groupBy(key, "py", "px").agg(F.max("occupied").alias("occupied"))
 
 
 def labelled_points(points: DataFrame, triangles: DataFrame, key: str = "gid") -> DataFrame:
