@@ -127,13 +127,33 @@ def masked_losses(cells: DataFrame, extra: float) -> DataFrame:
 
 
 def resized(images: DataFrame, size: int, key: str = "gid", value: str = "value") -> DataFrame:
-    """Square images (key, py, px, value) at another size, by bilinear weights between pixel centres: key, py, px, value."""
-    old = images.groupBy(key).agg((F.max("px") + 1).alias("w"), F.map_from_entries(F.collect_list(F.struct(F.struct("py", "px"), F.col(value)))).alias("cells"))
-    each = old.withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    at = lambda c: F.greatest(F.lit(0.0), F.least((F.col(c) + 0.5) * F.col("w") / size - 0.5, F.col("w") - F.lit(1.0)))
-    each = each.withColumns({"fy": at("py"), "fx": at("px")})
-    low, high = lambda c: F.floor(c).cast("int"), lambda c: F.least(F.floor(c).cast("int") + 1, F.col("w") - 1)
-    cell = lambda y, x: F.col("cells")[F.struct(y.alias("py"), x.alias("px"))]
-    ry, rx = F.col("fy") - F.floor("fy"), F.col("fx") - F.floor("fx")
-    row = lambda y: cell(y, low("fx")) * (1 - rx) + cell(y, high("fx")) * rx
-    return each.select(key, "py", "px", (row(low("fy")) * (1 - ry) + row(high("fy")) * ry).alias("value"))
+    """Square images (key, py, px, value) at another size, by bilinear weights between pixel centres: key, py, px, value.
+
+    A pixel between cells of which one is missing or null is null. An image
+    meets in one row; a task enlarges some of about MOST_CELLS pixels at once.
+    """
+    # Dealt by image before they are gathered, so that no task gathers more than its share.
+    cells = images.select(F.col(key).alias("k"), F.col("py").cast("int").alias("y"), F.col("px").cast("int").alias("x"), F.col(value).cast("double").alias("v")).repartition("k")
+    met = cells.groupBy("k").agg((F.max("x") + 1).alias("w"), F.collect_list(F.struct("y", "x", "v")).alias("c")).where("w > 0").select("k", "w", "c.y", "c.x", "c.v")
+    py, px = np.divmod(np.arange(size * size, dtype=np.int32), size)
+
+    def enlarge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for w, same in pdf.groupby("w"):
+                at = np.clip((np.arange(size) + 0.5) * w / size - 0.5, 0.0, w - 1.0)
+                low = np.floor(at).astype(int)
+                high, part = np.minimum(low + 1, w - 1), at - low
+                step = max(1, MOST_CELLS // max(w * w, size * size))
+                for i in range(0, len(same), step):
+                    some = same.iloc[i : i + step]
+                    own = np.repeat(np.arange(len(some)), [len(y) for y in some["y"]])
+                    y, x, v = (np.concatenate([np.asarray(c, kind) for c in some[name]]) for name, kind in (("y", int), ("x", int), ("v", float)))
+                    fits = (y >= 0) & (y < w) & (x >= 0)
+                    old = np.full((len(some), w, w), np.nan)
+                    old[own[fits], y[fits], x[fits]] = v[fits]
+                    row = lambda n: old[:, n][:, :, low] * (1 - part) + old[:, n][:, :, high] * part  # noqa: E731, B023
+                    new = row(low) * (1 - part)[:, None] + row(high) * part[:, None]
+                    yield pd.DataFrame({"k": some["k"].repeat(size * size).array, "py": np.tile(py, len(some)), "px": np.tile(px, len(some)), "value": new.ravel()})
+
+    kind = met.schema["k"].dataType.simpleString()
+    return met.mapInPandas(enlarge, f"k {kind}, py int, px int, value double").select(F.col("k").alias(key), "py", "px", F.nanvl("value", F.lit(None)).alias("value"))

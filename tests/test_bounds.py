@@ -34,3 +34,18 @@ def test_spectra_and_rasters_in_slices(spark, monkeypatch, cells, block):
     whole = {r[:3]: r[3:] for r in map(tuple, fourier.spectra(t, grid).collect())}
     sliced = {r[:3]: r[3:] for r in map(tuple, fourier.spectra(t, grid, most_cells=cells, block=block).collect())}
     assert whole.keys() == sliced.keys() and all(np.allclose(whole[k], sliced[k]) for k in whole)
+
+
+def test_resized_images_of_unequal_sizes(spark):
+    cells = [(g, y, x, float((g * 7 + y * 3 + x * 5) % 11)) for g, w in ((1, 2), (2, 3), (3, 5)) for y in range(w) for x in range(w) if (g, y, x) != (3, 4, 4)]
+    got = {(r.gid, r.py, r.px): r.value for r in raster.resized(spark.createDataFrame(cells, "gid long, py int, px int, value double"), 4).collect()}
+    old = {c[:3]: c[3] for c in cells}
+    for g, w in ((1, 2), (2, 3), (3, 5)):
+        for py in range(4):
+            for px in range(4):
+                fy, fx = (max(0.0, min((p + 0.5) * w / 4 - 0.5, w - 1.0)) for p in (py, px))
+                y, x = int(fy), int(fx)
+                taps = [(old.get((g, min(y + j, w - 1), min(x + i, w - 1))), abs(1 - j - (fy - y)) * abs(1 - i - (fx - x))) for j in (0, 1) for i in (0, 1)]
+                want = None if any(v is None for v, _ in taps) else sum(v * a for v, a in taps)
+                assert got.pop((g, py, px)) == (want if want is None else pytest.approx(want))
+    assert not got
