@@ -28,6 +28,8 @@ from geoloom.operators.lineage import written
 MOST_PIVOTS = 512
 #: Vectors of a ring, and queries that meet it at once, about.
 RING, BLOCK = 4096, 1024
+#: Values of any array that a task works on, about.
+MOST_CELLS = 500_000
 #: Bounds are widened by this share against rounding.
 SLACK = 1e-9
 
@@ -40,7 +42,19 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of all rows of x to all rows of y, by differences."""
-    return np.sqrt(np.stack([np.einsum("ij,ij->i", x - p, x - p) for p in y], axis=1))
+    out = np.empty((len(x), len(y)))
+    for k, p in enumerate(y):
+        d = x - p
+        out[:, k] = np.einsum("ij,ij->i", d, d)
+    return np.sqrt(out, out=out)
+
+
+def _sliced(batches: Iterator[pd.DataFrame], wide: int) -> Iterator[pd.DataFrame]:
+    """The rows of all batches, so few at a time that `wide` values for each are about MOST_CELLS."""
+    step = max(1, MOST_CELLS // wide)
+    for pdf in batches:
+        for i in range(0, len(pdf), step):
+            yield pdf.iloc[i : i + step]
 
 
 def _draw_pivots(library: DataFrame, n: int) -> np.ndarray:
@@ -54,10 +68,9 @@ def _in_cells(rows: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
     """rows(key, v) with cell, the nearest pivot, and dist to it."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(_matrix(pdf["v"]), pivots)
-                yield pdf.assign(cell=d.argmin(axis=1), dist=d.min(axis=1))
+        for pdf in _sliced(batches, len(pivots)):
+            d = _distances(_matrix(pdf["v"]), pivots)
+            yield pdf.assign(cell=d.argmin(axis=1), dist=d.min(axis=1))
 
     return rows.mapInPandas(place, f"{key} long, v array<double>, cell int, dist double")
 
@@ -74,9 +87,7 @@ def _bounded(queries: DataFrame, pivots: np.ndarray, near: dict[int, np.ndarray]
     """queries(q, v) with bound: a distance within which k library vectors lie for sure, by way of the pivots; infinite if there are fewer."""
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in _sliced(batches, max(1, sum(map(len, near.values())))):
             d = _distances(_matrix(pdf["v"]), pivots)
             ways = np.concatenate([d[:, [cell]] + dist for cell, dist in near.items()], axis=1)
             least = np.partition(ways, k - 1, axis=1)[:, k - 1] if ways.shape[1] >= k else np.full(len(d), np.inf)
@@ -90,9 +101,8 @@ def _visits(queries: DataFrame, pivots: np.ndarray) -> DataFrame:
     apart = _distances(pivots, pivots)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        # A query may visit all cells, each time with its vector.
+        for pdf in _sliced(batches, len(pivots) * pivots.shape[1]):
             d = _distances(_matrix(pdf["v"]), pivots)
             home = d.argmin(axis=1)
             # A vector of another cell lies beyond the plane halfway between the two pivots.

@@ -1,10 +1,13 @@
 """What a task holds at once stays within bounds, with the same results."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import fourier, raster
+from geoloom.operators import fourier, pivots, raster
 
 TRIANGLES = "gid long, tri_no int, ax double, ay double, bx double, by double, cx double, cy double"
 
@@ -49,3 +52,34 @@ def test_resized_images_of_unequal_sizes(spark):
                 want = None if any(v is None for v, _ in taps) else sum(v * a for v, a in taps)
                 assert got.pop((g, py, px)) == (want if want is None else pytest.approx(want))
     assert not got
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+class Rows:
+    """A table whose Python steps run here, one batch at a time."""
+
+    def __init__(self, pdf):
+        self.pdf = pdf
+
+    def mapInPandas(self, step, schema):  # noqa: N802
+        return sum(len(made) for made in step(iter([self.pdf])))
+
+
+def test_visits_and_bounds_hold_little(monkeypatch):
+    """A batch of 10,000 queries with 512 pivots, all of which they may visit."""
+    rng = np.random.default_rng(5)
+    points = rng.random((512, 16))
+    asked = pd.DataFrame({"q": range(2000), "v": list(rng.random((2000, 16))), "home": 0, "home_ring": 0, "bound": np.inf})
+    counted = []
+    assert peak_mb(lambda: counted.append(pivots._visits(Rows(asked), points))) < 60
+    assert counted == [2000 * 512]
+    near = {c: np.sort(rng.random(10)) for c in range(512)}
+    assert peak_mb(lambda: pivots._bounded(Rows(asked[["q", "v"]]), points, near, 10)) < 60
