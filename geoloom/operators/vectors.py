@@ -16,6 +16,8 @@ from geoloom.operators.pivots import knn_join
 
 #: Query vectors that go to every task at most; more are joined.
 QUERY_BLOCK = 4096
+#: Distances that a task holds at once.
+MOST_CELLS = 500_000
 #: Codes that are held in one array in every task.
 MOST_CODES = 65_536
 
@@ -48,18 +50,26 @@ def knn(queries: DataFrame, library: DataFrame, k: int, query_id: str = "qid", l
         return queries.sparkSession.createDataFrame([], f"{query_id} long, rank int, neighbour long, d2 double")
     ids, points = mine["q"].to_numpy(np.int64), _matrix(mine["v"])
 
+    step = max(1, MOST_CELLS // len(ids))
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_d, held_n = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        # What is held are the k best so far of each query, query after query.
+        held = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        bound = np.full(len(ids), np.inf)
         for pdf in batches:
             pdf = pdf[pdf["v"].notna()]
-            if not len(pdf):
-                continue
-            d = np.concatenate([held_d, _square_distances(_matrix(pdf["v"]), points).T], axis=1)
-            n = np.concatenate([held_n, np.broadcast_to(pdf["n"].to_numpy(np.int64), (len(ids), len(pdf)))], axis=1)
-            order = np.lexsort((n, d), axis=1)[:, :k]
-            held_d, held_n = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
-        if held_d.shape[1]:
-            yield pd.DataFrame({"q": np.repeat(ids, held_d.shape[1]), "neighbour": held_n.ravel(), "d2": held_d.ravel()})
+            for i in range(0, len(pdf), step):
+                some = pdf.iloc[i : i + step]
+                d2 = _square_distances(_matrix(some["v"]), points)
+                row, of = np.nonzero(~(d2 > bound))
+                q, d, n = (np.concatenate(x) for x in zip(held, (of, d2[row, of], some["n"].to_numpy(np.int64)[row]), strict=True))
+                order = np.lexsort((n, d, q))
+                q, d, n = q[order], d[order], n[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                bound[q[place == k - 1]] = d[place == k - 1]
+                held = tuple(x[place < k] for x in (q, d, n))
+        if len(held[0]):
+            yield pd.DataFrame({"q": ids[held[0]], "neighbour": held[2], "d2": held[1]})
 
     found = library.select(F.col(library_id).cast("long").alias("n"), F.col(vector).alias("v")).mapInPandas(best, "q long, neighbour long, d2 double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "neighbour"))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import fourier, pivots, raster
+from geoloom.operators import fourier, pivots, raster, vectors
 
 TRIANGLES = "gid long, tri_no int, ax double, ay double, bx double, by double, cx double, cy double"
 
@@ -83,3 +83,14 @@ def test_visits_and_bounds_hold_little(monkeypatch):
     assert counted == [2000 * 512]
     near = {c: np.sort(rng.random(10)) for c in range(512)}
     assert peak_mb(lambda: pivots._bounded(Rows(asked[["q", "v"]]), points, near, 10)) < 60
+
+
+def test_nearest_of_many_ties_in_slices(spark, monkeypatch):
+    rows = [(n, [float(n % 7), float(n % 3)] if n % 11 else None) for n in range(300)]
+    library = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    queries = library.where("vec_id % 10 = 1 and embedding is not null").withColumnRenamed("vec_id", "qid")
+    monkeypatch.setattr(vectors, "MOST_CELLS", 100)
+    got = sorted((r.qid, r["rank"], r.neighbour) for r in vectors.knn(queries, library, 6).collect())
+    d = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    asked = [(n, v) for n, v in rows if n % 10 == 1 and v is not None]
+    assert got == sorted((q, i + 1, n) for q, v in asked for i, (_, n) in enumerate(sorted((d(v, w), n) for n, w in rows if w is not None)[:6]))
