@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import pivots, quadtree, vectors
+from geoloom.operators import dominance, pivots, quadtree, vectors
 
 BOX = "id long, x0 double, y0 double, x1 double, y1 double"
 
@@ -42,6 +42,29 @@ def test_box_counts_of_no_boxes(spark):
     assert quadtree.box_pairs(q.limit(0), none).count() == 0
 
 
+def test_points_below():
+    rng = np.random.default_rng(7)
+    for n, m in ((0, 3), (1, 5), (37, 20), (64, 0), (200, 50)):
+        px, py, qx, qy = rng.integers(0, 9, n), rng.integers(0, 9, n), rng.integers(-1, 11, m), rng.integers(-1, 11, m)
+        assert dominance.below(px, py, qx, qy).tolist() == [int(((px < x) & (py < y)).sum()) for x, y in zip(qx, qy, strict=True)]
+
+
+def test_counts_make_no_pairs(spark, monkeypatch):
+    """Slabs with many equal bounds, boxes that touch, and boxes and queries without extent."""
+    for name, value in (("IN_SLAB", 20), ("MOST_SLABS", 9)):
+        monkeypatch.setattr(dominance, name, value)
+    square = lambda k, n: (k, float(k % n), float(k // n % n), float(k % n + k % 3), float(k // n % n + k % 4))
+    q, b = skewed(1, 60) + [square(100 + k, 4) for k in range(40)], skewed(2, 300) + [square(400 + k, 5) for k in range(400)] + [(900 + k, 1.0, 1.0, 2.0, 2.0) for k in range(300)]
+    left, right = spark.createDataFrame(q, BOX).withColumnRenamed("id", "qid"), spark.createDataFrame(b, BOX).withColumnRenamed("id", "lid").repartition(3)
+    pairs = overlapping(q, b)
+    made = []
+    monkeypatch.setattr(quadtree, "box_pairs", lambda *a, own=quadtree.box_pairs: made.append(a[0].count()) or own(*a))
+    got = {r.qid: r.hits for r in quadtree.box_counts(left, right).collect()}
+    assert got == {r[0]: sum(p[0] == r[0] for p in pairs) for r in q}
+    fine = [r for r in q if all(c is not None and math.isfinite(c) for c in r[1:]) and r[1] <= r[3] and r[2] <= r[4]]
+    assert made == [sum(r[1] == r[3] or r[2] == r[4] for r in fine)]
+
+
 def test_large_boxes_have_few_copies(spark):
     boxes = spark.createDataFrame(skewed(3, 2000), BOX)
     tree = quadtree.quadtree(boxes, 16)
