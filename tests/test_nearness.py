@@ -35,6 +35,17 @@ def test_unequal_boxes(spark, most, sample):
     assert sorted(map(tuple, got.collect())) == overlapping(q, b)
 
 
+def test_full_cells_are_dealt(spark, monkeypatch):
+    """Large boxes over a crowd: the crowd's cell is dealt into parts, and the pairs are the same."""
+    monkeypatch.setattr(quadtree, "LIBRARY_PART", 20)
+    monkeypatch.setattr(quadtree, "QUERY_PART", 8)
+    q, b = skewed(5, 120) + [(500, -2000.0, -2000.0, 2000.0, 2000.0)], skewed(6, 400)
+    left, right = spark.createDataFrame(q, BOX).withColumnRenamed("id", "qid"), spark.createDataFrame(b, BOX).withColumnRenamed("id", "lid")
+    tree = quadtree.quadtree(right, 16)
+    assert tree.parts([tree.top, tree.top + 3], 20)[tree.top + 3] == -(-tree.n // 20) and tree.parts([tree.top], 20)[tree.top] > 4
+    assert sorted(map(tuple, quadtree.box_pairs(left, right, most=16).collect())) == overlapping(q, b)
+
+
 def test_box_counts_of_no_boxes(spark):
     q = spark.createDataFrame(skewed(1, 5), BOX).withColumnRenamed("id", "qid")
     none = spark.createDataFrame([], BOX).withColumnRenamed("id", "lid")
